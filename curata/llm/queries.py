@@ -31,8 +31,8 @@ def queries() -> dict:
 
 P1_SQL = r"""
 WITH RECURSIVE e AS (
-  SELECT DISTINCT lower(trim(anchor)) AS x, lower(trim(other)) AS y FROM edges
-  WHERE score >= 0.85 AND NOT isnan(score) AND lower(trim(anchor)) <> lower(trim(other))
+  SELECT DISTINCT lower(regexp_replace(anchor, '^\s+|\s+$', '', 'g')) AS x, lower(regexp_replace(other, '^\s+|\s+$', '', 'g')) AS y FROM edges
+  WHERE score >= 0.85 AND NOT isnan(score) AND lower(regexp_replace(anchor, '^\s+|\s+$', '', 'g')) <> lower(regexp_replace(other, '^\s+|\s+$', '', 'g'))
     AND trim(anchor) <> '' AND trim(other) <> ''),
 b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 r(id, seen) AS (SELECT x, x FROM b UNION SELECT r.id, b.y FROM r JOIN b ON b.x = r.seen)
@@ -40,10 +40,10 @@ SELECT id, min(seen) AS group_id FROM r GROUP BY id
 """
 
 P3_CTE = r"""
-WITH RECURSIVE f AS (SELECT DISTINCT lower(trim(id)) AS id, nullif(lower(trim(family)), '') AS family,
+WITH RECURSIVE f AS (SELECT DISTINCT lower(regexp_replace(id, '^\s+|\s+$', '', 'g')) AS id, nullif(lower(regexp_replace(family, '^\s+|\s+$', '', 'g')), '') AS family,
     CASE regexp_replace(lower(split), '[^a-z]+', '', 'g') WHEN 'training' THEN 'train' WHEN 'val' THEN 'validation'
       WHEN '' THEN NULL WHEN 'unassigned' THEN NULL ELSE regexp_replace(lower(split), '[^a-z]+', '', 'g') END AS split FROM families),
-r0 AS (SELECT lower(trim(family_id)) AS fam, regexp_replace(lower(trim(holder)), '\s+', ' ', 'g') AS holder, lower(trim(sha256)) AS dig FROM rights_dispositions),
+r0 AS (SELECT lower(regexp_replace(family_id, '^\s+|\s+$', '', 'g')) AS fam, regexp_replace(lower(regexp_replace(holder, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g') AS holder, lower(regexp_replace(sha256, '^\s+|\s+$', '', 'g')) AS dig FROM rights_dispositions),
 e AS (SELECT 'f ' || fam AS x, 'h ' || holder AS y FROM r0 WHERE holder NOT IN ('', '-', 'n/a', 'unknown', 'not stated', 'tbd')
   UNION SELECT 'f ' || fam, 'd ' || dig FROM r0 WHERE regexp_matches(dig, '^[0-9a-f]{64}$')
     AND dig <> 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855'),
