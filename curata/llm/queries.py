@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from curata.llm import groups, splits
+from pyspark.sql import functions as F
+
+from curata.llm import copies, groups, near, splits
 from curata.runtime import Stage, table
 
 
@@ -25,6 +27,26 @@ def p3_shares(spark, d):
     return splits.split_shares(p3_splits(spark, d), table(spark, d, "split_targets"))
 
 
+def p5_found(spark, d):
+    return copies.copies(table(spark, d, "messages"))
+
+
+def p5_collapsed(spark, d):
+    return copies.collapse(table(spark, d, "messages"))
+
+
+def p6_found(spark, d):
+    return near.near_pairs(table(spark, d, "messages"))
+
+
+def p6_groups(spark, d):
+    """Groups shaped like ``near_twins``: the id of a group is the digest of its members."""
+    pairs = Stage(p6_found(spark, d), "near")
+    g = groups.consolidate(pairs.df.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    out = g.groupBy("group_id").agg(F.sort_array(F.collect_list("id")).alias("record_ids"))
+    return out.select(F.sha2(F.array_join("record_ids", ","), 256).alias("group_id"), "record_ids")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
