@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curata.llm import copies, groups, near, splits
+from curata.llm import copies, cuts, groups, leaks, near, splits
 from curata.runtime import Stage, table
 
 
@@ -47,6 +47,25 @@ def p6_groups(spark, d):
     return out.select(F.sha2(F.array_join("record_ids", ","), 256).alias("group_id"), "record_ids")
 
 
+def p7_found(spark, d):
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_tasks"))
+
+
+def p7_leaked_items(spark, d):
+    """For each item the number of documents that leak it."""
+    hits = p7_found(spark, d).groupBy("task_id").agg(F.count(F.lit(1)).alias("n_documents"))
+    return table(spark, d, "eval_tasks").select("task_id").distinct().join(hits, "task_id", "left").select("task_id", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
+
+
+def p9_found(spark, d):
+    return cuts.cut_documents(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p9_rates(spark, d):
+    docs = table(spark, d, "documents")
+    return cuts.cut_rates(docs, cuts.cut_documents(docs))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
