@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from curata.runtime import Stage
@@ -179,10 +181,8 @@ def goes_on(base: str, more: str) -> bool:
     return not (_END.search(base) and re.match(r"\s", more)) and not more.startswith("\n")
 
 
-@F.pandas_udf("string")
-def _bare(s):
-    import pandas as pd
-
+@F.pandas_udf(StringType())
+def _bare(s: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else bare(x) for x in s], dtype=object)
 
 
