@@ -28,6 +28,7 @@ SKETCH = 1 << 21  # counters in each of the two rows of the count-min sketch of
 CHUNK = 1 << 16
 BLOCK = 4096  # shards that may hold more records are divided
 WORD_CACHE = 500_000
+VISITS = 500_000  # pairs of query and node that are looked at together
 
 
 def _word_ids(batches):
@@ -88,7 +89,8 @@ def _count(batches):
     for b in batches:
         _, h, _ = _runs(b.column("words"))
         for s in _slots(h):
-            total += np.bincount(s, minlength=2 * SKETCH)
+            at, n = np.unique(s, return_counts=True)
+            total[at] += n
     for k in range(0, 2 * SKETCH, CHUNK):
         part = total[k : k + CHUNK]
         if part.any():
@@ -165,58 +167,71 @@ def postings(words: DataFrame, counts, t: float) -> DataFrame:
     return words.select("unit", "words").mapInArrow(run, "token long, i int, j int, unit long, n int, idx boolean, bits binary")
 
 
-def bk_forest(group: np.ndarray, unit: np.ndarray, n: np.ndarray, idx: np.ndarray, bits: np.ndarray, t: float) -> np.ndarray:
+def bk_forest(group: np.ndarray, unit: np.ndarray, n: np.ndarray, w: np.ndarray, node: np.ndarray, query: np.ndarray, t: float) -> np.ndarray:
     """Pairs of units within the radius, by one BK-tree per group, all trees grown and searched together.
 
-    Nodes are the rows with ``idx``. The root of a tree is its first node, and a
+    ``node`` and ``query`` are rows. The root of a tree is its first node, and a
     node's children are keyed by their integer Hamming distance to it. A query
     of n runs looks for nodes of m <= n runs at a distance of at most
-    (1 - t) / (1 + t) * (n + m), and follows an edge only if its key is within
-    that radius, m bounded by n, of the query's own distance to the node.
-    Levels of all trees are computed at once in numpy.
+    (1 - t) / (1 + t) * (n + m); it follows an edge only if the key is within the
+    largest such radius of its own distance to the node, and if the subtree has
+    records of fitting size. Levels of all trees are computed at once in numpy.
     """
     f = (1 - t) / (1 + t)
-    w = bits.view(np.uint64).reshape(len(unit), -1)
     dist = lambda p, q: np.bitwise_count(w[p] ^ w[q]).sum(1, dtype=np.int64)
-    node, tree = np.flatnonzero(idx), group[idx]
-    query, qtree = np.arange(len(unit)), group
+    tree, qtree = group[node], group[query]
     pairs = [np.zeros((0, 2), np.int64)]
     while len(node) and len(query):
-        # trees numbered 0.. in order; nodes sorted by tree, the first is the root
+        # nodes sorted by tree; the first is the root
         o = np.argsort(tree, kind="stable")
         node, tree = node[o], tree[o]
         names, first, tree = np.unique(tree, return_index=True, return_inverse=True)
         root = node[first]
+        small, large = np.minimum.reduceat(n[node], first), np.maximum.reduceat(n[node], first)
         at = np.searchsorted(names, qtree)
-        there = (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == qtree)
-        query, at = query[there], at[there]
-        hits, far = [], np.zeros(len(query), np.int64)
-        for k in range(0, len(query), 1 << 17):
-            s = slice(k, k + (1 << 17))
-            far[s] = dist(query[s], root[at[s]])
+        at[at == len(names)] = 0
+        fits = (names[at] == qtree) & (small[at] <= n[query]) & (large[at] >= t * n[query] - 1e-9)
+        query, at = query[fits], at[fits]
         a, b = query, root[at]
+        far = dist(a, b)
         ok = (far <= f * (n[a] + n[b]) + 1e-9) & ((n[b] < n[a]) | ((n[b] == n[a]) & (unit[b] < unit[a]))) & (n[b] >= t * n[a] - 1e-9)
-        hits = np.stack([unit[a[ok]], unit[b[ok]]], 1)
-        pairs.append(hits)
+        pairs.append(np.stack([unit[a[ok]], unit[b[ok]]], 1))
         rest = np.ones(len(node), bool)
         rest[first] = False
         node, tree = node[rest], tree[rest]
         if not len(node):
             break
-        key = dist(node, root[tree])
-        label = tree * (BITS + 1) + key
-        kids = np.unique(label)
-        lo = np.searchsorted(kids, np.arange(len(names)) * (BITS + 1))
-        hi = np.searchsorted(kids, np.arange(1, len(names) + 1) * (BITS + 1))
-        reps = (hi - lo)[at]
+        tree = tree * (BITS + 1) + dist(node, root[tree])
+        kids = np.unique(tree)
+        edge = np.arange(len(names) + 1) * (BITS + 1)
+        lo = np.searchsorted(kids, edge)
+        reps = np.diff(lo)[at]
         q = np.repeat(np.arange(len(query)), reps)
         child = kids[lo[at][q] + np.arange(len(q)) - (np.cumsum(reps) - reps)[q]]
         near = np.abs(far[q] - child % (BITS + 1)) <= 2 * f * n[query[q]] + 1e-9
         query, qtree = query[q[near]], child[near]
-        tree = label
     return np.unique(np.concatenate(pairs), axis=0)
 
 
+def _search(g: np.ndarray, unit: np.ndarray, n: np.ndarray, idx: np.ndarray, w: np.ndarray, t: float):
+    """Runs :func:`bk_forest` over slices of at most ``VISITS`` possible visits, which bounds memory."""
+    size, some = np.bincount(g), np.bincount(g, weights=idx).astype(np.int64)
+    ends = np.cumsum(size)
+    k = 0
+    while k < len(size):
+        stop, work = k + 1, size[k] * some[k]
+        while stop < len(size) and work + size[stop] * some[stop] <= VISITS:
+            work += size[stop] * some[stop]
+            stop += 1
+        rows = np.arange(ends[k] - size[k], ends[stop - 1])
+        nodes = rows[idx[rows]]
+        if len(nodes):
+            step = len(rows) if work <= VISITS else max(1, VISITS // len(nodes))
+            for x in range(0, len(rows), step):
+                yield bk_forest(g, unit, n, w, nodes, rows[x : x + step], t)
+        k = stop
+
+
 def candidates(shards: DataFrame, t: float) -> DataFrame:
     """Pairs of units ``(a, b)`` that a BK-tree of some shard finds within the radius.
 
@@ -239,7 +254,9 @@ def candidates(shards: DataFrame, t: float) -> DataFrame:
                 return None
             col = tb.column("bits").combine_chunks()
             bits = np.frombuffer(b"".join(c.buffers()[2][c.offset * BITS // 8 : (c.offset + len(c)) * BITS // 8] for c in ([col] if isinstance(col, pa.Array) else col.chunks)), np.uint8).reshape(len(tok), -1)
-            got = bk_forest(g[live], unit[live], n[live], idx[live], np.ascontiguousarray(bits[live]), t)
+            g = np.unique(g[live], return_inverse=True)[1]
+            got = np.concatenate([np.zeros((0, 2), np.int64), *_search(g, unit[live], n[live], idx[live], np.ascontiguousarray(bits[live]).view(np.uint64), t)])
+            got = np.unique(got, axis=0)
             if len(got):
                 return pa.RecordBatch.from_arrays([pa.array(np.minimum(got[:, 0], got[:, 1])), pa.array(np.maximum(got[:, 0], got[:, 1]))], ["a", "b"])
             return None
@@ -267,8 +284,14 @@ def candidates(shards: DataFrame, t: float) -> DataFrame:
     return sorted_.mapInArrow(run, "a long, b long").distinct()
 
 
-def _joined(batches):
+def _small(batches, rows=2000):
     for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _joined(batches):
+    for b in _small(batches):
         turns = b.column("t")
         flat = turns.flatten()
         words = flat.field("words")
@@ -305,8 +328,7 @@ def record_words(messages: DataFrame) -> DataFrame:
 
 def _verified(t: float):
     def run(batches):
-        for b in batches:
-            keep = np.zeros(b.num_rows, bool)
+        for b in _small(batches):
             (ra, ha, na), (rb, hb, nb) = _runs(b.column("wa")), _runs(b.column("wb"))
             row, h = np.concatenate([ra, rb]), np.concatenate([ha, hb])
             o = np.lexsort((h, row))
