@@ -23,6 +23,7 @@ _ITEM = re.compile(r"^\s*(?:[-*•+‣]|\d{1,3}[.)])\s+")
 _SIGN = re.compile(r"^\s*(?:--|—|–)\s*\S")
 _KEYS = re.compile(r"^\s*(?:keywords?|key words|tags?|schlagwörter|schlagworte|stichworte|stichwörter|mots[- ]clés|palabras clave|topics?|themen)\s*[:：]", re.I)
 _FORMULA = re.compile(r"^\s*[^\s=.!?]{1,12}(?:\s*\([^()]*\))?\s*=\s*\S")
+_RESULT = re.compile(r"=>?\s*[-+−±]?\d[\d.,]*\s*[^\d\s]{0,8}$")
 _HEAD = re.compile(r"^\s*#{1,6}\s+\S")
 _END = re.compile(r"[.!?。！？][\"'”’»)\]}*_`]*$")
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
@@ -114,7 +115,7 @@ def stop_kind(s: str | None, punctuated: bool | None = None) -> str | None:
         return None
     if _ITEM.match(last):
         return "line" if word and last.endswith(word[-1]) and word[-1].lower() in DANGLING else None
-    if _FORMULA.match(last):
+    if _FORMULA.match(last) or _RESULT.search(last):
         return None
     if last[-1] in ")]}\"”»'’`*_>|":
         return None

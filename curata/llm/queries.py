@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curata.llm import copies, cuts, groups, leaks, near, splits
+from curata.llm import copies, cuts, groups, leaks, mix, near, pairs, splits, tokens
 from curata.runtime import Stage, table
 
 
@@ -66,6 +66,32 @@ def p9_rates(spark, d):
     return cuts.cut_rates(docs, cuts.cut_documents(docs))
 
 
+def p2_found(spark, d):
+    return pairs.defects(table(spark, d, "messages"))
+
+
+def p2_defects(spark, d):
+    return p2_found(spark, d).groupBy("defect").agg(F.count(F.lit(1)).alias("n_answers"))
+
+
+def p4_budget(spark, d):
+    return tokens.budget(*[table(spark, d, t) for t in ("documents", "candidates", "messages", "review_completion")])
+
+
+def _mix(spark, d):
+    sizes = Stage(mix.sized(table(spark, d, "documents")), "sizes").df
+    rate = Stage(mix.rates(sizes, table(spark, d, "mix_targets")), "rates").df
+    return mix.mix(sizes, rate), rate
+
+
+def p8_mix(spark, d):
+    return _mix(spark, d)[0]
+
+
+def p8_shares(spark, d):
+    return mix.reached(*_mix(spark, d))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
