@@ -15,7 +15,9 @@ from curata.runtime import Stage
 
 # Marks that are put where a text was cut.
 MARKS = re.compile(r"(?:…|\.\.\.|\[(?:\.\.\.|…)\]|\((?:\.\.\.|…|more|cont(?:inued|\.)?|weiter|suite|sigue)\)|\[(?:more|truncated|cut|gekürzt|tronqué|truncado)\]|<(?:truncated|cut|more)>|-{2,}\s*(?:more|cut here)\s*-{2,}|(?:read|see) more)\s*$", re.I)
-_TAIL = re.compile("[\\s​-‏⁠﻿ \u0000]+$")
+_TAIL = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF, 0]))  # white space, joiners and NUL
+_MARK_ROOM = 48  # no mark is longer
+_BRACKET = re.compile(r'[()\[\]{}“”«»„"]')
 _ENTITY = re.compile(r"&(?:#x?[0-9a-fA-F]{0,6}|[A-Za-z]{1,7})$")
 _ESCAPE = re.compile(r"(?:\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|%[0-9A-F]?)$")
 _FENCE = re.compile(r"^\s*(```+|~~~+)", re.M)
@@ -43,16 +45,16 @@ DANGLING = set(
 
 def bare(s: str) -> str:
     """The text without white space and marks at its end."""
-    s = _TAIL.sub("", s)
-    m = MARKS.search(s)
-    return _TAIL.sub("", s[: m.start()]) if m else s
+    s = s.rstrip(_TAIL)
+    m = MARKS.search(s, max(0, len(s) - _MARK_ROOM))
+    return s[: m.start()].rstrip(_TAIL) if m else s
 
 
 def _open(line: str) -> bool:
     """Whether a bracket or quote that begins in ``line`` is still open at its end."""
     stack: list[str] = []
     low = False
-    for c in line:
+    for c in _BRACKET.findall(line):
         if c in "([{“«":
             stack.append(c)
         elif c == "„":
@@ -83,15 +85,14 @@ def stop_kind(s: str | None, punctuated: bool | None = None) -> str | None:
     """
     if not s:
         return None
-    t = _TAIL.sub("", s)
+    t = s.rstrip(_TAIL)
     if not t:
         return None
-    if t[-1] == "�" or _ENTITY.search(t) or _ESCAPE.search(t):
+    if t[-1] == "�" or _ENTITY.search(t, max(0, len(t) - 12)) or _ESCAPE.search(t, max(0, len(t) - 12)):
         return "bytes"
-    fences = _FENCE.findall(t)
-    if len(fences) % 2:
+    if ("```" in t or "~~~" in t) and len(_FENCE.findall(t)) % 2:
         return "code"
-    if MARKS.search(t):
+    if MARKS.search(t, max(0, len(t) - _MARK_ROOM)):
         return "mark"
     lines = t.split("\n")
     last = lines[-1]

@@ -21,6 +21,7 @@ SPIKE_LENGTH, SPIKE_COUNT, SPIKE_TIMES = 64, 20, 5.0  # a length limit: so many
 
 _THINK = re.compile(r"<think>.*?</think>", re.S | re.I)
 _VALUE = re.compile(r"\s*(?:\W{0,4}\s*)?[-+−±~≈]?\d[\d.,'  ]*(?:e[-+]?\d+|[×x]\s?10\S*)?\s*[^\d\s]{0,8}(?:\s?[^\d\s]{1,8})?\s*$", re.I)
+_CLOSED = re.compile(r"[.!?)\]}\"'`|»”“]\s*$")
 _RESULT = re.compile(r"(?:=>|→|⇒)\s*[-+−]?\d[\d.,]*\s*\S{0,8}\s*$")
 # Stand-ins for an answer, as letters and digits.
 STAND_INS = set(
@@ -49,6 +50,12 @@ REFUSALS = [
     r"\bil ne m'?est pas (?:possible|permis)\b",
 ]
 _REFUSAL = re.compile("|".join(REFUSALS))
+# Every one of the patterns needs one of these words.
+REFUSAL_WORDS = set(
+    """help assist answer answering discuss comply provide provides provided providing respond reply pass decline refuse guidelines policy policies
+    principles rules outside given helfen beantworten weiterhelfen antworten auskunft antwort hilfe ablehnen passen ayudar responder contestar
+    atender daré voy responderé contestaré rechazar declinar aider répondre donner mesure décliner refuser donnerai fournirai répondrai possible permis""".split()
+)
 # Words of one of the four languages only.
 LANGUAGE_WORDS = {
     "en": "the of and to is with that this are it by from should must if which what when how does be has have you your not only before while because into at for will would can where there than then each who they we our explain please write".split(),
@@ -68,14 +75,14 @@ ASKED = {
 }
 
 
-def language(s: str) -> str | None:
+def language(ws: list[str]) -> str | None:
     """en, de, es or fr by words of one language only; None if too few or mixed."""
-    f = s.casefold()
-    c: Counter[str] = Counter(_WORD_OF[w] for w in _ALPHA.findall(f) if w in _WORD_OF)
-    if not f.isascii():
-        for ch in f:
-            if ch in _LETTERS:
-                c[_LETTERS[ch]] += 0.5
+    c: Counter[str] = Counter([_WORD_OF[w] for w in ws if w in _WORD_OF])
+    for w in ws:
+        if not w.isascii():
+            for ch in w:
+                if ch in _LETTERS:
+                    c[_LETTERS[ch]] += 0.5
     top = c.most_common(2)
     if not top or top[0][1] < 2 or (len(top) > 1 and top[1][1] * 2 > top[0][1]):
         return None
@@ -84,7 +91,7 @@ def language(s: str) -> str | None:
 
 def plain(s: str) -> tuple[str, dict | None]:
     """The answer's own text: without thoughts, and of a JSON object its ``response``."""
-    t = _THINK.sub("", s).strip()
+    t = (_THINK.sub("", s) if "<" in s else s).strip()
     v = T.json_object(t)
     if v is None:
         return t, None
@@ -92,11 +99,10 @@ def plain(s: str) -> tuple[str, dict | None]:
     return (said if isinstance(said, str) else ""), v
 
 
-def is_empty(t: str, obj: dict | None) -> bool:
+def is_empty(ws: list[str], obj: dict | None) -> bool:
     if obj is not None:
         return not any(T.letters(x) not in STAND_INS | {""} if isinstance(x, str) else x not in (None, [], {}) for k, x in obj.items() if k not in ("status", "id"))
-    bits = T.letters(t)
-    return not bits or bits in STAND_INS
+    return not ws or (len(ws) < 6 and "".join(ws) in STAND_INS)
 
 
 def is_refusal(t: str) -> bool:
@@ -111,20 +117,22 @@ def is_refusal(t: str) -> bool:
     return len(_ALPHA.findall(f[:before])) + len(_ALPHA.findall(f[after:])) <= REST and not re.search(r"\d", f[after:])
 
 
-def is_echo(q: str, t: str) -> bool:
-    a, b = T.words(t), T.words(q)
+def is_echo(b: list[str], a: list[str]) -> bool:
+    """Whether an answer's words ``a`` are nothing but the question's words ``b`` again."""
     if len(a) < 5 or len(a) * 2 < len(b):
         return False
-    if sum((Counter(a) & Counter(b)).values()) >= ECHO * len(a):
+    known = set(b)
+    if sum(w in known for w in a) >= ECHO * len(a) and sum((Counter(a) & Counter(b)).values()) >= ECHO * len(a):
         return True
-    x, y = T.letters(t), T.letters(q)
-    return len(y) > 20 and y in x and len(x) <= len(y) * 1.15
+    y = "".join(b)
+    x = "".join(a) if len(y) > 20 else ""
+    return len(y) > 20 and len(x) <= len(y) * 1.15 and y in x
 
 
-def is_cut(t: str, whole: str) -> bool:
-    if whole[:1] == "{" and whole[-1:] != "}":
+def is_cut(t: str) -> bool:
+    if t[:1] == "{" and t[-1:] != "}":
         return True
-    if _VALUE.match(t) or _RESULT.search(t):
+    if _VALUE.match(t) or _RESULT.search(t, max(0, len(t) - 60)):
         return False
     return cuts.stop_kind(t) is not None
 
@@ -134,37 +142,39 @@ def _judge(batches):
     for b in batches:
         out: dict[str, list] = {k: [] for k in names}
         for rid, turns in zip(b.column("id").to_pylist(), b.column("t").to_pylist()):
-            asked, q = "", None
+            asked, wq = [], None
             for x in turns:
                 s = x["content"] or ""
                 if x["role"] == "user":
-                    q = s
-                    asked += "\n" + T.fold(s)
-                if x["role"] != "assistant" or x["calls"] or q is None:
+                    wq = T.words(s)
+                    asked.append(s)
+                    lq = language(wq)
+                if x["role"] != "assistant" or x["calls"] or wq is None:
                     continue
                 t, obj = plain(s)
-                whole = _THINK.sub("", s).strip()
+                wt = T.words(t)
                 defect = None
                 cut = False
-                if is_empty(t if obj is None else "", obj):
+                if is_empty(wt, obj):
                     defect = "empty"
-                elif is_refusal(t):
+                elif not REFUSAL_WORDS.isdisjoint(wt) and is_refusal(t):
                     defect = "refusal"
-                elif is_echo(q, t):
+                elif is_echo(wq, wt):
                     defect = "echo"
                 else:
-                    la, lq = language(t), language(q)
-                    if la and lq and la != lq and not ASKED[la].search(asked):
+                    la = language(wt)
+                    if la and lq and la != lq and not ASKED[la].search(T.fold("\n".join(asked))):
                         defect = "other_language"
                     else:
-                        cut = obj is None and is_cut(t, whole)
+                        cut = obj is None and is_cut(t)
+                text = defect is None and obj is None
                 out["id"].append(rid)
                 out["turn"].append(x["turn"])
                 out["defect"].append(defect)
-                out["form"].append(T.letters(cuts.bare(t)) if defect is None and obj is None and len(t) > 40 else None)
+                out["form"].append("".join(wt) if text and len(t) > 40 else None)
                 out["cut"].append(cut)
                 out["length"].append(len(s))
-                out["open"].append(defect is None and obj is None and not re.search(r"[.!?)\]}\"'`|»”“]\s*$", s) and not _RESULT.search(t) and not _VALUE.match(t))
+                out["open"].append(text and not _CLOSED.search(t, max(0, len(t) - 4)) and not _RESULT.search(t, max(0, len(t) - 60)) and not _VALUE.match(t))
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", pa.string()), ("turn", pa.int32()), ("defect", pa.string()), ("form", pa.string()), ("cut", pa.bool_()), ("length", pa.int32()), ("open", pa.bool_())]))
 
 
