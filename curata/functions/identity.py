@@ -10,6 +10,11 @@ TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{1c}-\x{1f}\x{85}]"
 NUMBER = r"\b\d+(?:\s*\.\s*\d+)?\b"
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` or a lambda inside it reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def fold(c: Column) -> Column:
     """Case folding as far as Latin texts need it: lower case, with sharp s as ss."""
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
@@ -35,9 +40,12 @@ def template(c: Column) -> Column:
 
 def shingles(c: Column, n: int = 5) -> Column:
     """Distinct 16-digit digests of ``n`` tokens in succession; empty for shorter texts."""
-    t = tokens(c)
-    at = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(F.sha2(F.array_join(F.slice(t, i, F.lit(n)), "\x1f"), 256), 1, 16)))
+
+    def of(t):
+        at = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(at, lambda i: F.substring(F.sha2(F.array_join(F.slice(t, i, F.lit(n)), "\x1f"), 256), 1, 16)))
+
+    return let(tokens(c), of)
 
 
 def messages_json(msgs: Column) -> Column:

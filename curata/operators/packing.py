@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
+from curata.functions.identity import let
+
 # Ids of the byte tokenizer; bytes begin at BYTE.
 PAD, BOS, EOS, BYTE, VOCABULARY = 0, 1, 2, 32, 288
 ROLE_IDS = {"system": 3, "user": 4, "assistant": 5, "tool": 6}
@@ -16,10 +18,13 @@ IGNORE = -100
 
 def byte_tokens(c: Column) -> Column:
     """UTF-8 bytes of a text as token ids."""
-    h = F.hex(F.encode(c, "UTF-8"))
-    n = F.length(h) / 2
-    at = F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + BYTE)
+
+    def of(h):
+        n = (F.length(h) / 2).cast("int")
+        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + BYTE)
+
+    return let(F.hex(F.encode(c, "UTF-8")), of)
 
 
 def byte_text(tokens: Column) -> Column:
@@ -73,10 +78,10 @@ def chat(msgs: Column, answer_prompt: bool = False) -> tuple[Column, Column]:
         named = F.to_json(F.struct(m["name"].alias("name"), m["tool_call_id"].alias("tool_call_id")))
         head = F.when(m["name"].isNotNull() | m["tool_call_id"].isNotNull(), F.concat(named, F.lit("\n"))).otherwise("")
         calls = F.when(F.coalesce(m["tool_calls"], F.lit("")).startswith("["), F.concat(F.lit('\n{"tool_calls":'), m["tool_calls"], F.lit("}"))).otherwise("")
-        body = byte_tokens(F.concat(head, F.coalesce(m["content"], F.lit("")), calls))
+        text = F.concat(head, F.coalesce(m["content"], F.lit("")), calls)
         said = m["role"] == "assistant"
-        toks = F.concat(F.array(F.element_at(ids, m["role"])), body, F.array(F.lit(TURN_END)))
-        tgts = F.concat(F.array(F.lit(False)), F.transform(F.concat(body, F.array(F.lit(TURN_END))), lambda _: said))
+        toks = F.concat(F.array(F.element_at(ids, m["role"])), byte_tokens(text), F.array(F.lit(TURN_END)))
+        tgts = F.concat(F.array(F.lit(False)), F.array_repeat(said, F.octet_length(text) + 1))
         return F.struct(toks.alias("t"), tgts.alias("s"))
 
     parts = F.transform(msgs, one)

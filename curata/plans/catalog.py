@@ -1,24 +1,23 @@
-"""Named queries over the given tables, each with its SQL where SQL can express it."""
+"""Named queries over the given tables, each with its SQL where SQL can express it.
 
-from __future__ import annotations
-
-from pyspark.sql import functions as F
+Every query reads its whole tables. Names begin with the number of the operator.
+"""
 
-from curata.runtime import table
+from __future__ import annotations
 
+from curata.plans import corpus, grading, numbers, relations
 
-def a01_exact_dedup(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    return docs.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n_copies"))
+MODULES = (corpus, relations, numbers, grading)
 
 
 def flagship(spark, d):
-    return a01_exact_dedup(spark, d)
+    """Review status of documents by language: exact copies, detectors and leaked items together."""
+    return corpus.flagship(spark, d)
 
 
 def queries() -> dict:
-    return {"a01_exact_dedup": a01_exact_dedup}
+    return {k: q for m in MODULES for k, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"a01_exact_dedup": "SELECT sha256(text) AS digest, min(doc_id) AS keep_id, count(*) AS n_copies FROM documents GROUP BY 1"}
+    return {k: s for m in MODULES for k, (_, s) in m.QUERIES.items() if s}
