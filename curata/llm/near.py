@@ -23,7 +23,8 @@ from curata.functions import text as T
 from curata.llm.copies import _role
 from curata.runtime import Stage, clean_id
 
-BITS = 512  # parity bitmap of a record's runs
+BITS = 512  # parity bitmap of a record's runs in the shards
+WIDE = 4096  # parity bitmap of a record's runs before pairs are compared in full
 SKETCH = 1 << 21  # counters in each of the two rows of the count-min sketch of runs: 16 MB whatever the corpus
 CHUNK = 1 << 16
 BLOCK = 4096  # shards that may hold more records are divided
@@ -114,10 +115,10 @@ def sketch(words: DataFrame) -> np.ndarray:
     return out
 
 
-def _bitmaps(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
-    """Parity bitmap (``BITS`` bits) of each row's runs."""
-    bit = (h & np.uint64(BITS - 1)).astype(np.int64)
-    odd = (np.bincount(row * BITS + bit, minlength=rows * BITS) & 1).astype(np.uint8).reshape(rows, BITS)
+def _bitmaps(row: np.ndarray, h: np.ndarray, rows: int, bits: int = BITS) -> np.ndarray:
+    """Parity bitmap of each row's runs."""
+    bit = (h & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(row * bits + bit, minlength=rows * bits) & 1).astype(np.uint8).reshape(rows, bits)
     return np.packbits(odd, axis=1)
 
 
@@ -326,6 +327,28 @@ def record_words(messages: DataFrame) -> DataFrame:
     return turns.select("id", root, F.transform("t", lambda x: F.struct(x["words"].alias("words"))).alias("t")).mapInArrow(_joined, "id string, root binary, unit long, words binary")
 
 
+def _widen(batches):
+    for b in _small(batches):
+        row, h, n = _runs(b.column("words"))
+        wide = np.ascontiguousarray(_bitmaps(row, h, b.num_rows, WIDE)).reshape(-1)
+        bits = pa.Array.from_buffers(pa.binary(WIDE // 8), b.num_rows, [None, pa.py_buffer(wide)]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("root"), pa.array(n.astype(np.int32)), bits, b.column("words")], ["unit", "root", "n", "wide", "words"])
+
+
+def _close(t: float):
+    """Pairs whose wide bitmaps are within the radius."""
+    f = (1 - t) / (1 + t)
+
+    def run(batches):
+        for b in batches:
+            bits = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("xa", "xb")]
+            n = np.asarray(b.column("na")).astype(np.int64) + np.asarray(b.column("nb"))
+            keep = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64) <= f * n + 1e-9
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
 def _verified(t: float):
     def run(batches):
         for b in _small(batches):
@@ -355,10 +378,16 @@ def near_pairs(messages: DataFrame, t: float = 0.5) -> DataFrame:
     named = cand.df.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
     members = Stage(words.df.join(named, "unit"), "members")
     units = members.df.groupBy("unit").agg(F.min(F.struct("id", "root", "words")).alias("u")).select("unit", "u.root", "u.words")
-    units = Stage(units, "units")
-    side = lambda c, s: units.df.select(F.col("unit").alias(c), F.col("root").alias(f"r{s}"), F.col("words").alias(f"w{s}"))
-    both = cand.df.join(side("a", "a"), "a").join(side("b", "b"), "b").filter("ra <> rb")
-    good = Stage(both.select("a", "b", "wa", "wb").mapInArrow(_verified(t), "a long, b long"), "good")
+    units = Stage(units.mapInArrow(_widen, "unit long, root binary, n int, wide binary, words binary"), "units")
+
+    def both(pairs: DataFrame, *cols: str) -> DataFrame:
+        out = pairs
+        for c in ("a", "b"):
+            out = out.join(units.df.select(F.col("unit").alias(c), *[F.col(x).alias(f"{x[0] if x != 'wide' else 'x'}{c}") for x in cols]), c)
+        return out
+
+    near = Stage(both(cand.df, "root", "n", "wide").filter("ra <> rb").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_close(t), "a long, b long"), "near")
+    good = Stage(both(near.df, "words").select("a", "b", "wa", "wb").mapInArrow(_verified(t), "a long, b long"), "good")
     of = members.df.select("unit", "id")
     x = good.df.join(of.select(F.col("unit").alias("a"), F.col("id").alias("x")), "a").join(of.select(F.col("unit").alias("b"), F.col("id").alias("y")), "b")
     return x.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
