@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
-from curata.functions.identity import let
-
 # Ids of the byte tokenizer; bytes begin at BYTE.
 PAD, BOS, EOS, BYTE, VOCABULARY = 0, 1, 2, 32, 288
 ROLE_IDS = {"system": 3, "user": 4, "assistant": 5, "tool": 6}
@@ -17,14 +15,9 @@ IGNORE = -100
 
 
 def byte_tokens(c: Column) -> Column:
-    """UTF-8 bytes of a text as token ids."""
-
-    def of(h):
-        n = (F.length(h) / 2).cast("int")
-        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + BYTE)
-
-    return let(F.hex(F.encode(c, "UTF-8")), of)
+    """UTF-8 bytes of a text as token ids: the hex form, cut into pairs in one pass."""
+    pairs = F.filter(F.split(F.hex(F.encode(c, "UTF-8")), r"(?<=\G..)"), lambda h: h != "")
+    return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int") + BYTE)
 
 
 def byte_text(tokens: Column) -> Column:
