@@ -101,15 +101,16 @@ def bootstrap(df: DataFrame, stratum: str, cluster: str, value: str, resamples:
     Each cluster draws its weight for each resample from its own hash, so the
     resamples are one explode and two partial aggregates, whatever the rows.
     """
-    c = df.groupBy(stratum, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    d = df.select(F.col(stratum).alias("st"), F.col(cluster).alias("cl"), F.col(value).alias("v"))
+    c = d.groupBy("st", "cl").agg(F.sum("v").alias("s"), F.count("v").alias("n"))
     r = c.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "b", stratum, cluster), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    u = (F.pmod(F.xxhash64(F.lit(seed), "b", "st", "cl"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     cuts, total, p = [], 0.0, math.exp(-1)
     for k in range(1, 12):
         total += p
         cuts.append(total)
         p /= k
     w = sum((u > x).cast("int") for x in cuts)
-    m = r.withColumn("w", w).groupBy("b", stratum).agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("m"))
+    m = r.withColumn("w", w).groupBy("b", "st").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("m"))
     macro = m.groupBy("b").agg(F.avg("m").alias("m"))
     return macro.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.avg("m").alias("mean"))
