@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -74,6 +75,16 @@ def _sweep() -> None:
             continue
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of stages that are written and of frames that are no longer referenced.
+
+    Spark drops them when the driver happens to collect its garbage; a long
+    query that has staged its input can ask for it.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to and read from the shared folder."""
     return Stage(df, label).df
