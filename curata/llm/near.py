@@ -16,17 +16,20 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.functions import text as T
 from curata.llm.copies import _role
-from curata.runtime import Stage, clean_id
+from curata.runtime import Stage, clean_id, release
 
 BITS = 512  # parity bitmap of a record's runs in the shards
 WIDE = 4096  # parity bitmap of a record's runs before pairs are compared in full
-SKETCH = 1 << 21  # counters in each of the two rows of the count-min sketch of runs: 16 MB whatever the corpus
-CHUNK = 1 << 16
+SKETCH = 1 << 23  # counters in each of the two rows of the count-min sketch of runs: 32 MB whatever the corpus
+CHUNK = 1 << 18
+EXACT = 1000  # counts up to this are kept as they are, larger ones rounded up on a scale of 64 steps to the double
+ROW = 4 + BITS // 8  # bytes of a posting: number of runs and role, bitmap
 BLOCK = 4096  # shards that may hold more records are divided
 WORD_CACHE = 500_000
 VISITS = 500_000  # pairs of query and node that are looked at together
@@ -37,9 +40,11 @@ def _word_ids(batches):
     for b in batches:
         out, leaf = [], []
         for s in b.column("content").to_pylist():
-            leaf.append(T.content_digest(s))
+            ws = T.words(s or "")
+            obj = T.json_object(s) if s else None
+            leaf.append(T.digest(b"t", "".join(ws).encode()) if obj is None else T.merkle(obj))
             got = []
-            for w in T.words(s or ""):
+            for w in ws:
                 v = cache.get(w)
                 if v is None:
                     v = cache[w] = zlib.crc32(w.encode())
@@ -82,36 +87,48 @@ def _runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> np.uint64(43)).astype(np.int64), ((h >> np.uint64(20)) & np.uint64(SKETCH - 1)).astype(np.int64) + SKETCH
+    return (h >> np.uint64(41)).astype(np.int64), ((h >> np.uint64(16)) & np.uint64(SKETCH - 1)).astype(np.int64) + SKETCH
 
 
 def _count(batches):
-    total = np.zeros(2 * SKETCH, np.int64)
+    total = np.zeros(2 * SKETCH, np.int32)
     for b in batches:
         _, h, _ = _runs(b.column("words"))
         for s in _slots(h):
             at, n = np.unique(s, return_counts=True)
-            total[at] += n
+            total[at] += n.astype(np.int32)
+    pack = zstandard.ZstdCompressor(1)
     for k in range(0, 2 * SKETCH, CHUNK):
         part = total[k : k + CHUNK]
         if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zlib.compress(part.astype(np.int64).tobytes(), 1)], pa.binary())], ["at", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pack.compress(part.tobytes())], pa.binary())], ["at", "part"])
+
+
+def _coded(c: np.ndarray) -> np.ndarray:
+    """Counts in 16 bits: exact up to ``EXACT``, rounded up beyond."""
+    big = EXACT + np.ceil(64 * np.log2(np.maximum(c, EXACT) / EXACT))
+    return np.where(c <= EXACT, c, big).astype(np.uint16)
+
+
+def _counted(code: np.ndarray) -> np.ndarray:
+    """The count that a code stands for, never less than the true one."""
+    x = code.astype(np.float64)
+    return np.where(x <= EXACT, x, np.ceil(EXACT * 2 ** ((x - EXACT) / 64))).astype(np.int64)
 
 
 def _add(key, pdf):
     import pandas as pd
 
-    whole = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["part"])
-    small = np.minimum(whole, np.iinfo(np.uint32).max).astype(np.uint32)
-    return pd.DataFrame({"at": [key[0]], "part": [zlib.compress(small.tobytes(), 1)]})
+    whole = sum(np.frombuffer(zstandard.decompress(x), np.int32).astype(np.int64) for x in pdf["part"])
+    return pd.DataFrame({"at": [key[0]], "part": [zstandard.compress(_coded(whole).tobytes(), 1)]})
 
 
 def sketch(words: DataFrame) -> np.ndarray:
     """Count-min sketch of the runs of all records: two rows of ``SKETCH`` counters, never an undercount."""
     parts = words.select("words").mapInArrow(_count, "at long, part binary").groupBy("at").applyInPandas(_add, "at long, part binary")
-    out = np.zeros(2 * SKETCH, np.uint32)
-    for r in parts.collect():  # at most 64 rows of 64 K counters, whatever the corpus
-        out[r.at : r.at + CHUNK] = np.frombuffer(zlib.decompress(bytes(r.part)), np.uint32)
+    out = np.zeros(2 * SKETCH, np.uint16)
+    for r in parts.collect():  # at most 64 rows of 256 K counters, whatever the corpus
+        out[r.at : r.at + CHUNK] = np.frombuffer(zstandard.decompress(bytes(r.part)), np.uint16)
     return out
 
 
@@ -122,50 +139,55 @@ def _bitmaps(row: np.ndarray, h: np.ndarray, rows: int, bits: int = BITS) -> np.
     return np.packbits(odd, axis=1)
 
 
+def _shard(h: np.ndarray, i: np.ndarray, j: np.ndarray, divided: np.ndarray) -> np.ndarray:
+    """The number of a shard: the run's hash, mixed with the pair of blocks where the run is divided."""
+    with np.errstate(over="ignore"):
+        x = (h + (i.astype(np.uint64) << np.uint64(32)) + j.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(31)
+    return np.where(divided, x, h).view(np.int64)
+
+
 def postings(words: DataFrame, counts, t: float) -> DataFrame:
-    """``(token, i, j, unit, n, idx, bits)``: each record in the shards of the runs of its prefix.
+    """``(shard, unit, row)``: each record in the shards of the runs of its prefix; ``row`` is its runs' number, role and bitmap.
 
     Runs are taken rarest first by the sketch. A partner with Jaccard >= t shares
     a run that is among the first n - ceil(t n) + 1 of both and, for the smaller
-    record, among the first n - ceil(2t / (1 + t) n) + 1 (``idx``). Runs that the
-    sketch has counted once are in one record and go nowhere. A run counted more
-    than ``BLOCK`` times is divided into blocks of records, and every pair of
-    blocks is a shard.
+    record, among the first n - ceil(2t / (1 + t) n) + 1, where it is a node.
+    Runs that the sketch has counted once are in one record and go nowhere. A
+    run counted more than ``BLOCK`` times is divided into blocks of records, and
+    every pair of blocks is a shard.
     """
 
     def run(batches):
         c = counts.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                row, h, n = _runs(b.column("words"))
-                if not len(h):
-                    continue
-                bits = _bitmaps(row, h, b.num_rows)
-                s1, s2 = _slots(h)
-                df = np.minimum(c[s1], c[s2]).astype(np.int64)
-                o = np.lexsort((h, df, row))
-                row, h, df = row[o], h[o], df[o]
-                rank = np.arange(len(h)) - (np.cumsum(n) - n)[row]
-                nr = n[row]
-                go = (rank < nr - np.ceil(t * nr - 1e-9) + 1) & (df > 1)
-                row, h, df, nr, rank = row[go], h[go], df[go], nr[go], rank[go]
-                idx = rank < nr - np.ceil(2 * t / (1 + t) * nr - 1e-9) + 1
-                unit = np.asarray(b.column("unit"))
-                blocks = -(-df // BLOCK)
-                mine = (unit[row].astype(np.uint64) >> np.uint64(17)).astype(np.int64) % blocks
-                rep = np.repeat(np.arange(len(row)), blocks)
-                other = np.arange(len(rep)) - (np.cumsum(blocks) - blocks)[rep]
-                i, j = np.minimum(mine[rep], other), np.maximum(mine[rep], other)
-                row = row[rep]
-                flat = np.ascontiguousarray(bits[row]).reshape(-1)
-                fixed = pa.Array.from_buffers(pa.binary(BITS // 8), len(row), [None, pa.py_buffer(flat)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[rep].view(np.int64)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(unit[row]), pa.array(nr[rep].astype(np.int32)), pa.array(idx[rep]), fixed],
-                    ["token", "i", "j", "unit", "n", "idx", "bits"],
-                )
-
-    return words.select("unit", "words").mapInArrow(run, "token long, i int, j int, unit long, n int, idx boolean, bits binary")
+        for b in _small(batches):
+            row, h, n = _runs(b.column("words"))
+            if not len(h):
+                continue
+            bits = _bitmaps(row, h, b.num_rows)
+            s1, s2 = _slots(h)
+            df = _counted(np.minimum(c[s1], c[s2]))
+            o = np.lexsort((h, df, row))
+            row, h, df = row[o], h[o], df[o]
+            rank = np.arange(len(h)) - (np.cumsum(n) - n)[row]
+            nr = n[row]
+            go = (rank < nr - np.ceil(t * nr - 1e-9) + 1) & (df > 1)
+            row, h, df, nr, rank = row[go], h[go], df[go], nr[go], rank[go]
+            if not len(row):
+                continue
+            idx = rank < nr - np.ceil(2 * t / (1 + t) * nr - 1e-9) + 1
+            unit = np.asarray(b.column("unit"))
+            blocks = -(-df // BLOCK)
+            mine = (unit[row].astype(np.uint64) >> np.uint64(17)).astype(np.int64) % blocks
+            rep = np.repeat(np.arange(len(row)), blocks)
+            other = np.arange(len(rep)) - (np.cumsum(blocks) - blocks)[rep]
+            shard = _shard(h[rep], np.minimum(mine[rep], other), np.maximum(mine[rep], other), blocks[rep] > 1)
+            head = ((nr[rep] << 1) | idx[rep]).astype(np.uint32)
+            flat = np.ascontiguousarray(np.concatenate([head.view(np.uint8).reshape(-1, 4), bits[row[rep]]], axis=1)).reshape(-1)
+            fixed = pa.Array.from_buffers(pa.binary(ROW), len(rep), [None, pa.py_buffer(flat)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(unit[row[rep]]), fixed], ["shard", "unit", "row"])
+
+    return words.select("unit", "words").mapInArrow(run, "shard long, unit long, row binary")
 
 
 def bk_forest(group: np.ndarray, unit: np.ndarray, n: np.ndarray, w: np.ndarray, node: np.ndarray, query: np.ndarray, t: float) -> np.ndarray:
@@ -237,52 +259,46 @@ def candidates(shards: DataFrame, t: float) -> DataFrame:
     """Pairs of units ``(a, b)`` that a BK-tree of some shard finds within the radius.
 
     A shard is bounded by ``BLOCK`` (a pair of blocks by twice that), so a few
-    thousand rows are held at a time. Copies of a unit inside a shard are one row.
+    thousand rows are held at a time, and rows meet in the order of their shard.
     """
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def work(tb: pa.Table):
-            tok, i, j = (np.asarray(tb.column(c)) for c in ("token", "i", "j"))
-            new = np.ones(len(tok), bool)
-            new[1:] = (tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-            g = np.cumsum(new) - 1
-            unit, n, idx = np.asarray(tb.column("unit")), np.asarray(tb.column("n")).astype(np.int64), np.asarray(tb.column("idx"))
-            size, some = np.bincount(g), np.bincount(g, weights=idx)
-            live = (size[g] > 1) & (some[g] > 0)
-            if not live.any():
-                return None
-            col = tb.column("bits").combine_chunks()
-            bits = np.frombuffer(b"".join(c.buffers()[2][c.offset * BITS // 8 : (c.offset + len(c)) * BITS // 8] for c in ([col] if isinstance(col, pa.Array) else col.chunks)), np.uint8).reshape(len(tok), -1)
-            g = np.unique(g[live], return_inverse=True)[1]
-            got = np.concatenate([np.zeros((0, 2), np.int64), *_search(g, unit[live], n[live], idx[live], np.ascontiguousarray(bits[live]).view(np.uint64), t)])
-            got = np.unique(got, axis=0)
-            if len(got):
-                return pa.RecordBatch.from_arrays([pa.array(np.minimum(got[:, 0], got[:, 1])), pa.array(np.maximum(got[:, 0], got[:, 1]))], ["a", "b"])
+    def work(shard: np.ndarray, unit: np.ndarray, raw: np.ndarray):
+        new = np.ones(len(shard), bool)
+        new[1:] = shard[1:] != shard[:-1]
+        g = np.cumsum(new) - 1
+        head = np.ascontiguousarray(raw[:, :4]).view(np.uint32)[:, 0].astype(np.int64)
+        n, idx = head >> 1, (head & 1).astype(bool)
+        live = (np.bincount(g)[g] > 1) & (np.bincount(g, weights=idx)[g] > 0)
+        if not live.any():
             return None
+        g = np.unique(g[live], return_inverse=True)[1]
+        w = np.ascontiguousarray(raw[live, 4:]).view(np.uint64)
+        got = np.concatenate([np.zeros((0, 2), np.int64), *_search(g, unit[live], n[live], idx[live], w, t)])
+        got = np.unique(np.sort(got, axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"]) if len(got) else None
 
+    def run(batches):
+        held: list[tuple] = []
         rows = 0
         for b in batches:
-            held.append(b)
-            rows += b.num_rows
+            col = b.column("row")
+            raw = np.frombuffer(col.buffers()[2], np.uint8, count=ROW * (col.offset + len(col)))[ROW * col.offset :].reshape(-1, ROW) if len(col) else np.zeros((0, ROW), np.uint8)
+            held.append((np.asarray(b.column("shard")), np.asarray(b.column("unit")), raw))
+            rows += len(col)
             if rows < 20_000:
                 continue
-            tb = pa.Table.from_batches(held)
-            tok, i, j = (np.asarray(tb.column(c)) for c in ("token", "i", "j"))
-            last = np.flatnonzero((tok != tok[-1]) | (i != i[-1]) | (j != j[-1]))
+            shard, unit, raw = (np.concatenate(x) for x in zip(*held))
+            last = np.flatnonzero(shard != shard[-1])
             cut = int(last[-1]) + 1 if len(last) else 0
-            if not cut:
-                continue
-            if (out := work(tb.slice(0, cut).combine_chunks())) is not None:
+            if cut and (out := work(shard[:cut], unit[:cut], raw[:cut])) is not None:
+                yield out
+            held, rows = [(shard[cut:], unit[cut:], raw[cut:])], len(shard) - cut
+        if held:
+            shard, unit, raw = (np.concatenate(x) for x in zip(*held))
+            if len(shard) and (out := work(shard, unit, raw)) is not None:
                 yield out
-            tail = tb.slice(cut).combine_chunks()
-            held, rows = tail.to_batches(), tail.num_rows
-        if held and (out := work(pa.Table.from_batches(held).combine_chunks())) is not None:
-            yield out
 
-    sorted_ = shards.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "unit")
-    return sorted_.mapInArrow(run, "a long, b long").distinct()
+    return shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long").distinct()
 
 
 def _small(batches, rows=2000):
@@ -373,8 +389,10 @@ def near_pairs(messages: DataFrame, t: float = 0.5) -> DataFrame:
     """
     spark = messages.sparkSession
     words = Stage(record_words(messages), "words")
-    counts = spark.sparkContext.broadcast(sketch(words.df))  # 16 MB, whatever the corpus
+    release(spark)  # the shuffle of the texts is not needed any more
+    counts = spark.sparkContext.broadcast(sketch(words.df))  # 32 MB, whatever the corpus
     cand = Stage(candidates(postings(words.df, counts, t), t), "pairs")
+    release(spark)
     named = cand.df.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
     members = Stage(words.df.join(named, "unit"), "members")
     units = members.df.groupBy("unit").agg(F.min(F.struct("id", "root", "words")).alias("u")).select("unit", "u.root", "u.words")
