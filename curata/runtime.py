@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +44,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """Spark drops the shuffle files of a query when it ends; what is staged needs them no more."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was) if was is not None else spark.conf.unset(key)
+
+
 class Stage:
     """A table written to the shared folder: its lineage is cut and survives lost executors."""
 
@@ -51,7 +63,8 @@ class Stage:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
         _WRITTEN.add((self.spark.sparkContext.applicationId, self.path))
-        df.write.parquet(self.path)
+        with _shuffles_dropped(self.spark):
+            df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -75,16 +88,6 @@ def _sweep() -> None:
             continue
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of stages that are written and of frames that are no longer referenced.
-
-    Spark drops them when the driver happens to collect its garbage; a long
-    query that has staged its input can ask for it.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def stage(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to and read from the shared folder."""
     return Stage(df, label).df
