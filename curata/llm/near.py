@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from curata.functions import text as T
 from curata.llm.copies import _role
-from curata.runtime import Stage, clean_id, release
+from curata.runtime import Stage, clean_id
 
 BITS = 512  # parity bitmap of a record's runs in the shards
 WIDE = 4096  # parity bitmap of a record's runs before pairs are compared in full
@@ -101,7 +101,10 @@ def _count(batches):
     for k in range(0, 2 * SKETCH, CHUNK):
         part = total[k : k + CHUNK]
         if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pack.compress(part.tobytes())], pa.binary())], ["at", "part"])
+            # one byte for most counters; those of 255 and more follow in full
+            over = np.flatnonzero(part >= 255)
+            low = np.minimum(part, 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pack.compress(low.tobytes() + part[over].tobytes())], pa.binary())], ["at", "part"])
 
 
 def _coded(c: np.ndarray) -> np.ndarray:
@@ -119,7 +122,12 @@ def _counted(code: np.ndarray) -> np.ndarray:
 def _add(key, pdf):
     import pandas as pd
 
-    whole = sum(np.frombuffer(zstandard.decompress(x), np.int32).astype(np.int64) for x in pdf["part"])
+    whole = np.zeros(CHUNK, np.int64)
+    for x in pdf["part"]:
+        raw = zstandard.decompress(x)
+        one = np.frombuffer(raw, np.uint8, count=CHUNK).astype(np.int64)
+        one[one == 255] = np.frombuffer(raw, np.int32, offset=CHUNK)
+        whole += one
     return pd.DataFrame({"at": [key[0]], "part": [zstandard.compress(_coded(whole).tobytes(), 1)]})
 
 
@@ -127,7 +135,7 @@ def sketch(words: DataFrame) -> np.ndarray:
     """Count-min sketch of the runs of all records: two rows of ``SKETCH`` counters, never an undercount."""
     parts = words.select("words").mapInArrow(_count, "at long, part binary").groupBy("at").applyInPandas(_add, "at long, part binary")
     out = np.zeros(2 * SKETCH, np.uint16)
-    for r in parts.collect():  # at most 64 rows of 256 K counters, whatever the corpus
+    for r in Stage(parts, "sketch").df.collect():  # at most 64 rows of 256 K counters, whatever the corpus
         out[r.at : r.at + CHUNK] = np.frombuffer(zstandard.decompress(bytes(r.part)), np.uint16)
     return out
 
@@ -389,10 +397,8 @@ def near_pairs(messages: DataFrame, t: float = 0.5) -> DataFrame:
     """
     spark = messages.sparkSession
     words = Stage(record_words(messages), "words")
-    release(spark)  # the shuffle of the texts is not needed any more
     counts = spark.sparkContext.broadcast(sketch(words.df))  # 32 MB, whatever the corpus
     cand = Stage(candidates(postings(words.df, counts, t), t), "pairs")
-    release(spark)
     named = cand.df.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
     members = Stage(words.df.join(named, "unit"), "members")
     units = members.df.groupBy("unit").agg(F.min(F.struct("id", "root", "words")).alias("u")).select("unit", "u.root", "u.words")
