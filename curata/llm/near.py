@@ -25,9 +25,10 @@ from curata.llm.copies import _role
 from curata.runtime import Stage, clean_id
 
 BITS = 512  # parity bitmap of a record's runs in the shards
-WIDE = 4096  # parity bitmap of a record's runs before pairs are compared in full
+WIDE = 1024  # parity bitmap of a record's runs before pairs are compared in full
 SKETCH = 1 << 23  # counters in each of the two rows of the count-min sketch of runs: 32 MB whatever the corpus
 CHUNK = 1 << 18
+ROWS = 2000  # texts that are taken apart at a time; their numbers fit 11 bits
 EXACT = 1000  # counts up to this are kept as they are, larger ones rounded up on a scale of 64 steps to the double
 ROW = 4 + BITS // 8  # bytes of a posting: number of runs and role, bitmap
 BLOCK = 4096  # shards that may hold more records are divided
@@ -55,6 +56,12 @@ def _word_ids(batches):
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("turn"), b.column("role"), pa.array(leaf, pa.binary()), pa.array(out, pa.binary())], ["id", "turn", "role", "leaf", "words"])
 
 
+def _small(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def _hashes(words: np.ndarray) -> np.ndarray:
     """64-bit hash of each run of three word ids."""
     a = words.astype(np.uint64)
@@ -67,36 +74,47 @@ def _hashes(words: np.ndarray) -> np.ndarray:
 
 
 def _runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct runs of each text of a column of word ids: row numbers (ascending), hashes, and runs per row."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+    """Distinct runs of each text of a column of at most ``ROWS`` texts of word ids.
+
+    Row numbers (ascending), hashes of 53 bits (ascending in a row) and runs per
+    row; row and hash are sorted as one number.
+    """
     off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     words = np.frombuffer(data, np.uint32, count=off[-1] // 4)[off[0] // 4 :] if data is not None and len(column) else np.zeros(0, np.uint32)
-    row = np.repeat(np.arange(len(column)), np.diff(off) // 4)
+    row = np.repeat(np.arange(len(column), dtype=np.uint64), np.diff(off) // 4)
     if len(words) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(column), np.int64)
-    h, same = _hashes(words), row[:-2] == row[2:]
-    h, row = h[same], row[:-2][same]
-    o = np.lexsort((h, row))
-    h, row = h[o], row[o]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    h, row = h[new], row[new]
-    return row, h, np.bincount(row, minlength=len(column))
+    same = row[:-2] == row[2:]
+    key = (row[:-2][same] << np.uint64(53)) | (_hashes(words)[same] >> np.uint64(11))
+    key.sort()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    row = (key >> np.uint64(53)).astype(np.int64)
+    return row, key & np.uint64((1 << 53) - 1), np.bincount(row, minlength=len(column))
 
 
 def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> np.uint64(41)).astype(np.int64), ((h >> np.uint64(16)) & np.uint64(SKETCH - 1)).astype(np.int64) + SKETCH
+    return (h >> np.uint64(30)).astype(np.int64), ((h >> np.uint64(7)) & np.uint64(SKETCH - 1)).astype(np.int64) + SKETCH
 
 
 def _count(batches):
     total = np.zeros(2 * SKETCH, np.int32)
-    for b in batches:
-        _, h, _ = _runs(b.column("words"))
-        for s in _slots(h):
-            at, n = np.unique(s, return_counts=True)
-            total[at] += n.astype(np.int32)
+    held: list[np.ndarray] = []
+
+    def add():
+        h = np.concatenate(held)
+        for k, s in enumerate(_slots(h)):
+            total[k * SKETCH : (k + 1) * SKETCH] += np.bincount(s - k * SKETCH, minlength=SKETCH).astype(np.int32)
+        held.clear()
+
+    for b in _small(batches):
+        held.append(_runs(b.column("words"))[1])
+        if sum(map(len, held)) > 2_000_000:
+            add()
+    if held:
+        add()
     pack = zstandard.ZstdCompressor(1)
     for k in range(0, 2 * SKETCH, CHUNK):
         part = total[k : k + CHUNK]
@@ -174,9 +192,10 @@ def postings(words: DataFrame, counts, t: float) -> DataFrame:
                 continue
             bits = _bitmaps(row, h, b.num_rows)
             s1, s2 = _slots(h)
-            df = _counted(np.minimum(c[s1], c[s2]))
-            o = np.lexsort((h, df, row))
-            row, h, df = row[o], h[o], df[o]
+            code = np.minimum(c[s1], c[s2])
+            # by row and count; runs of one row and count stay in the order of their hashes
+            o = np.argsort((row << 16) | code, kind="stable")
+            row, h, df = row[o], h[o], _counted(code[o])
             rank = np.arange(len(h)) - (np.cumsum(n) - n)[row]
             nr = n[row]
             go = (rank < nr - np.ceil(t * nr - 1e-9) + 1) & (df > 1)
@@ -309,12 +328,6 @@ def candidates(shards: DataFrame, t: float) -> DataFrame:
     return shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long").distinct()
 
 
-def _small(batches, rows=2000):
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def _joined(batches):
     for b in _small(batches):
         turns = b.column("t")
@@ -331,16 +344,18 @@ def _joined(batches):
         np.add.at(sums[:, 1], row, two)
         root = b.column("root").to_pylist()
         unit = [int.from_bytes(T.digest(r, s.tobytes())[:8], "little", signed=True) for r, s in zip(root, sums)]
-        keep = pa.array(n > 0)
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("root"), pa.array(unit, pa.int64()), text], ["id", "root", "unit", "words"]).filter(keep)
+        wide = np.ascontiguousarray(_bitmaps(row, h, len(turns), WIDE)).reshape(-1)
+        bits = pa.Array.from_buffers(pa.binary(WIDE // 8), len(turns), [None, pa.py_buffer(wide)]).cast(pa.binary())
+        cols = [b.column("id"), b.column("root"), pa.array(unit, pa.int64()), pa.array(n.astype(np.int32)), bits, text]
+        yield pa.RecordBatch.from_arrays(cols, ["id", "root", "unit", "n", "wide", "words"]).filter(pa.array(n > 0))
 
 
 def record_words(messages: DataFrame) -> DataFrame:
-    """``(id, root, unit, words)`` of each record with at least three words outside system turns.
+    """``(id, root, unit, n, wide, words)`` of each record with at least three words outside system turns.
 
     ``words`` are the 32-bit ids of the words of all its turns in order, ``root``
-    is the digest of problem 5 (equal for copies) and ``unit`` a hash of the root
-    and the set of runs. Null ids are left out; repeated rows count once.
+    is the digest of problem 5 (equal for copies), ``unit`` a hash of the root
+    and the set of runs, ``n`` the size of that set and ``wide`` its bitmap. Null ids are left out; repeated rows count once.
     """
     m = messages.select(clean_id(F.col("id")).alias("id"), F.col("turn").cast("int").alias("turn"), _role(F.col("role")).alias("role"), "content").filter("id is not null")
     w = m.mapInArrow(_word_ids, "id string, turn int, role string, leaf binary, words binary")
@@ -348,15 +363,7 @@ def record_words(messages: DataFrame) -> DataFrame:
     turns = w.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "leaf", "words"))).alias("t"))
     node = F.transform("t", lambda x: F.concat_ws(":", x["role"], F.hex(x["leaf"])))
     root = F.unhex(F.md5(F.array_join(node, "|"))).alias("root")
-    return turns.select("id", root, F.transform("t", lambda x: F.struct(x["words"].alias("words"))).alias("t")).mapInArrow(_joined, "id string, root binary, unit long, words binary")
-
-
-def _widen(batches):
-    for b in _small(batches):
-        row, h, n = _runs(b.column("words"))
-        wide = np.ascontiguousarray(_bitmaps(row, h, b.num_rows, WIDE)).reshape(-1)
-        bits = pa.Array.from_buffers(pa.binary(WIDE // 8), b.num_rows, [None, pa.py_buffer(wide)]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("root"), pa.array(n.astype(np.int32)), bits, b.column("words")], ["unit", "root", "n", "wide", "words"])
+    return turns.select("id", root, F.transform("t", lambda x: F.struct(x["words"].alias("words"))).alias("t")).mapInArrow(_joined, "id string, root binary, unit long, n int, wide binary, words binary")
 
 
 def _close(t: float):
@@ -399,19 +406,16 @@ def near_pairs(messages: DataFrame, t: float = 0.5) -> DataFrame:
     words = Stage(record_words(messages), "words")
     counts = spark.sparkContext.broadcast(sketch(words.df))  # 32 MB, whatever the corpus
     cand = Stage(candidates(postings(words.df, counts, t), t), "pairs")
-    named = cand.df.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
-    members = Stage(words.df.join(named, "unit"), "members")
-    units = members.df.groupBy("unit").agg(F.min(F.struct("id", "root", "words")).alias("u")).select("unit", "u.root", "u.words")
-    units = Stage(units.mapInArrow(_widen, "unit long, root binary, n int, wide binary, words binary"), "units")
-
-    def both(pairs: DataFrame, *cols: str) -> DataFrame:
-        out = pairs
-        for c in ("a", "b"):
-            out = out.join(units.df.select(F.col("unit").alias(c), *[F.col(x).alias(f"{x[0] if x != 'wide' else 'x'}{c}") for x in cols]), c)
-        return out
-
-    near = Stage(both(cand.df, "root", "n", "wide").filter("ra <> rb").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_close(t), "a long, b long"), "near")
-    good = Stage(both(near.df, "words").select("a", "b", "wa", "wb").mapInArrow(_verified(t), "a long, b long"), "good")
+    units = words.df.groupBy("unit").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.first("wide").alias("wide"))
+    side = lambda c: units.select(F.col("unit").alias(c), F.col("root").alias(f"r{c}"), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"x{c}"))
+    both = cand.df.join(side("a"), "a").join(side("b"), "b").filter("ra <> rb").select("a", "b", "na", "nb", "xa", "xb")
+    near = Stage(both.mapInArrow(_close(t), "a long, b long"), "near")
+    # only the texts of what is left are compared in full
+    named = near.df.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
+    members = Stage(words.df.select("unit", "id", "words").join(named, "unit"), "members")
+    texts = members.df.groupBy("unit").agg(F.min_by("words", "id").alias("words"))
+    pair = near.df.join(texts.select(F.col("unit").alias("a"), F.col("words").alias("wa")), "a").join(texts.select(F.col("unit").alias("b"), F.col("words").alias("wb")), "b")
+    good = Stage(pair.select("a", "b", "wa", "wb").mapInArrow(_verified(t), "a long, b long"), "good")
     of = members.df.select("unit", "id")
     x = good.df.join(of.select(F.col("unit").alias("a"), F.col("id").alias("x")), "a").join(of.select(F.col("unit").alias("b"), F.col("id").alias("y")), "b")
     return x.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -238,7 +238,7 @@ def test_bk_forest_against_all_pairs():
     sets = [set(r.integers(0, 60, r.integers(4, 40)).tolist()) for _ in range(rows)]
     h = np.concatenate([np.array(sorted(s), np.uint64) for s in sets]) * np.uint64(0x9E3779B97F4A7C15)
     n = np.array([len(s) for s in sets])
-    bits = near._bitmaps(np.repeat(np.arange(rows), n), h >> np.uint64(20), rows)
+    bits = near._bitmaps(np.repeat(np.arange(rows), n), (h >> np.uint64(11)), rows)
     w = np.ascontiguousarray(bits).view(np.uint64)
     g = np.arange(rows) % 3
     got = {tuple(sorted(p)) for p in near.bk_forest(g, np.arange(rows), n, w, np.arange(rows), np.arange(rows), 0.5).tolist()}
