@@ -26,10 +26,10 @@ from curata.runtime import Stage, clean_id
 
 BITS = 512  # parity bitmap of a record's runs in the shards
 WIDE = 1024  # parity bitmap of a record's runs before pairs are compared in full
-SKETCH = 1 << 23  # counters in each of the two rows of the count-min sketch of runs: 32 MB whatever the corpus
+SKETCH = 1 << 23  # counters in each of the two rows of the count-min sketch of runs: 16 MB whatever the corpus
 CHUNK = 1 << 18
 ROWS = 2000  # texts that are taken apart at a time; their numbers fit 11 bits
-EXACT = 1000  # counts up to this are kept as they are, larger ones rounded up on a scale of 64 steps to the double
+EXACT = 100  # counts up to this are kept as they are, larger ones rounded up on a scale of four steps to the double
 ROW = 4 + BITS // 8  # bytes of a posting: number of runs and role, bitmap
 BLOCK = 4096  # shards that may hold more records are divided
 WORD_CACHE = 500_000
@@ -126,15 +126,15 @@ def _count(batches):
 
 
 def _coded(c: np.ndarray) -> np.ndarray:
-    """Counts in 16 bits: exact up to ``EXACT``, rounded up beyond."""
-    big = EXACT + np.ceil(64 * np.log2(np.maximum(c, EXACT) / EXACT))
-    return np.where(c <= EXACT, c, big).astype(np.uint16)
+    """Counts in a byte: exact up to ``EXACT``, rounded up beyond."""
+    big = EXACT + np.ceil(4 * np.log2(np.maximum(c, EXACT) / EXACT))
+    return np.minimum(np.where(c <= EXACT, c, big), 255).astype(np.uint8)
 
 
 def _counted(code: np.ndarray) -> np.ndarray:
     """The count that a code stands for, never less than the true one."""
     x = code.astype(np.float64)
-    return np.where(x <= EXACT, x, np.ceil(EXACT * 2 ** ((x - EXACT) / 64))).astype(np.int64)
+    return np.where(x <= EXACT, x, np.ceil(EXACT * 2 ** ((x - EXACT) / 4))).astype(np.int64)
 
 
 def _add(key, pdf):
@@ -152,9 +152,9 @@ def _add(key, pdf):
 def sketch(words: DataFrame) -> np.ndarray:
     """Count-min sketch of the runs of all records: two rows of ``SKETCH`` counters, never an undercount."""
     parts = words.select("words").mapInArrow(_count, "at long, part binary").groupBy("at").applyInPandas(_add, "at long, part binary")
-    out = np.zeros(2 * SKETCH, np.uint16)
+    out = np.zeros(2 * SKETCH, np.uint8)
     for r in Stage(parts, "sketch").df.collect():  # at most 64 rows of 256 K counters, whatever the corpus
-        out[r.at : r.at + CHUNK] = np.frombuffer(zstandard.decompress(bytes(r.part)), np.uint16)
+        out[r.at : r.at + CHUNK] = np.frombuffer(zstandard.decompress(bytes(r.part)), np.uint8)
     return out
 
 
@@ -404,7 +404,7 @@ def near_pairs(messages: DataFrame, t: float = 0.5) -> DataFrame:
     """
     spark = messages.sparkSession
     words = Stage(record_words(messages), "words")
-    counts = spark.sparkContext.broadcast(sketch(words.df))  # 32 MB, whatever the corpus
+    counts = spark.sparkContext.broadcast(sketch(words.df))  # 16 MB, whatever the corpus
     cand = Stage(candidates(postings(words.df, counts, t), t), "pairs")
     units = words.df.groupBy("unit").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.first("wide").alias("wide"))
     side = lambda c: units.select(F.col("unit").alias(c), F.col("root").alias(f"r{c}"), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"x{c}"))
