@@ -8,7 +8,7 @@ from curata.functions import identity as I  # noqa: E741
 from curata.functions import quality as Q
 from curata.operators import dedup, families, guards, messages, packing, reports, retrieval, sampling
 from curata.plans.registry import Registry
-from curata.runtime import table
+from curata.runtime import Stage, table
 
 QUERIES = query = Registry()
 
@@ -354,7 +354,8 @@ def k15(spark, d):
 
 
 def _features(spark, d):
-    return families.features(docs(spark, d), "doc_id", "text")
+    """Features of the documents, computed once: several joins read them."""
+    return Stage(families.features(docs(spark, d), "doc_id", "text"), "features").df
 
 
 @query("j02_exact_prompts", f"WITH c AS (SELECT doc_id, sha256(array_to_string({TOKENS_SQL}, ' ')) AS h FROM documents) SELECT a.doc_id AS anchor, count(*) AS n_others, min(b.doc_id) AS first_other FROM c a JOIN c b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1")
@@ -385,7 +386,7 @@ def j04(spark, d):
 @query("j05_contained_prompts")
 def j05(spark, d):
     """Labels of held-out prompts against documents by kind."""
-    a = families.features(table(spark, d, "eval_tasks"), "task_id", "prompt")
+    a = Stage(families.features(table(spark, d, "eval_tasks"), "task_id", "prompt"), "features").df
     o = _features(spark, d).withColumn("id", F.col("id").cast("string"))
     return families.matches(a, o).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("anchor").alias("n_anchors"))
 
