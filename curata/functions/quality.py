@@ -195,3 +195,17 @@ def metrics(c: Column) -> list[Column]:
         F.regexp_count(c, F.lit(r"\S+")).cast("long").alias("words"),
         F.size(math_lines(c)).cast("long").alias("math_lines"),
     ]
+
+
+def evidence(df: DataFrame, key: str, text: str = "text", most: int = 30) -> DataFrame:
+    """``(key, code, count, line_numbers)`` of the detectors by line: sorted line numbers, at most ``most``, no text."""
+    t = F.coalesce(F.col(text), F.lit(""))
+
+    def rows(p: str, math: bool) -> Column:
+        hit = lambda x: x.rlike(p) & x.rlike(MATH_LINE) if math else x.rlike(p)
+        return F.array_compact(F.transform(lines(t), lambda x, i: F.when(hit(x), i + 1)))
+
+    found = [(code, p, m) for code, _, _, p, m in LINE_PATTERNS + LOOKING_PATTERNS] + [(code, p, False) for code, _, _, p in PATTERNS if code != "AMBIGUOUS_HYPHENATION"]
+    one = F.array(*[F.struct(F.lit(code).alias("code"), rows(p, m).alias("at")) for code, p, m in found])
+    x = df.select(F.col(key).alias("key"), F.explode(one).alias("x")).filter(F.size("x.at") > 0)
+    return x.select(F.col("key").alias(key), "x.code", F.size("x.at").cast("long").alias("count"), F.slice("x.at", 1, most).alias("line_numbers"))

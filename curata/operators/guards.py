@@ -117,3 +117,78 @@ def duplicate_cycles(links: DataFrame, limit: int = 64) -> DataFrame:
         if not after or before == after:
             break
     return cur.df.select("id").distinct()
+
+
+def metadata_violations(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Missing or unknown columns, blank keys and repeated keys of a metadata table."""
+    spark = rows.sparkSession
+    odd = sorted(set(fields) ^ set(rows.columns))
+    shape = spark.createDataFrame([("FIELDS", c, "missing" if c in fields else "unknown") for c in odd], "rule string, entity string, detail string")
+    if key not in rows.columns:
+        return shape
+    again = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    return union([shape, rule("BLANK_KEY", rows.filter(blank(F.col(key).cast("string"))), F.lit("")), rule("DUPLICATE_KEY", again, F.col(key), F.col("n"))])
+
+
+def declared_violations(rows: DataFrame, key: str, declared: str, names: list[str], values: list[str]) -> DataFrame:
+    """Rows whose map ``declared`` has not exactly the given names, or a value outside ``values``."""
+    have, want = F.array_sort(F.map_keys(declared)), F.array(*[F.lit(x) for x in sorted(names)])
+    ok = F.forall(F.map_values(declared), lambda v: F.coalesce(v.isin(values), F.lit(False)))
+    hit = F.array_compact(F.array(F.when(~F.coalesce(have == want, F.lit(False)), F.lit("DECLARATIONS_MISSING")), F.when(~F.coalesce(ok, F.lit(False)), F.lit("DECLARATION_UNKNOWN"))))
+    return rows.select(F.explode(hit).alias("rule"), F.col(key).cast("string").alias("entity"), F.lit("").alias("detail"))
+
+
+def region_violations(regions: DataFrame, selected: DataFrame) -> DataFrame:
+    """Checks of regions ``(source, region, start, stop, length, path, sha256)`` against the selected ``(source, region)``.
+
+    Bounds of spans, paths with several digests, and exact coverage both ways.
+    """
+    bad = ~F.coalesce((F.col("start") >= 0) & (F.col("start") < F.col("stop")) & (F.col("stop") <= F.col("length")), F.lit(False))
+    at = F.concat_ws("/", "source", "region")
+    several = regions.filter("path is not null").groupBy("path").agg(F.count_distinct("sha256").alias("n")).filter("n > 1")
+    a, b = selected.select("source", "region").distinct(), regions.select("source", "region").distinct()
+    return union(
+        [
+            rule("SPAN_BOUNDS", regions.filter(bad), at),
+            rule("DIGEST_CONFLICT", several, F.col("path"), F.col("n")),
+            rule("NOT_COVERED", a.join(b, ["source", "region"], "left_anti"), at),
+            rule("NOT_SELECTED", b.join(a, ["source", "region"], "left_anti"), at),
+        ]
+    )
+
+
+def pin_violations(rows: DataFrame, key: str, pins: list[str], digest: str, order: str) -> DataFrame:
+    """Rows whose pinned fields (as JSON with sorted keys) have another digest, and gaps in the numbering from one."""
+    have = F.sha2(F.to_json(F.struct(*sorted(pins))), 256)
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi"), F.count_distinct(order).alias("d"))
+    gap = n.filter("n > 0 and not (lo = 1 and hi = n and d = n)")
+    return union([rule("PIN_CHANGED", rows.filter(~F.coalesce(have == F.col(digest), F.lit(False))), F.col(key)), rule("NUMBERING", gap, F.col("n"), F.col("hi"))])
+
+
+def staging_violations(candidates: DataFrame, provenance: DataFrame) -> DataFrame:
+    """Invariants of a staged pair ``(id, hash, text)`` and ``(id, review_status, issue_codes)``.
+
+    One to one by id, ids that are the prefix of their hash, no repeated ids or
+    hashes, no sensitive content, and issues exactly where a record is quarantined.
+    """
+    from curata.functions.quality import sensitive_codes
+
+    quarantined = F.coalesce(F.col("review_status") == "quarantined", F.lit(False))
+    return union(
+        [
+            one_to_one(candidates, provenance, "id", ("NO_PROVENANCE", "NO_CANDIDATE")),
+            rule("ID_NOT_OF_HASH", candidates.filter(~F.coalesce(F.col("id") == F.concat(F.lit("repo-"), F.substring("hash", 1, 24)), F.lit(False))), F.col("id")),
+            rule("DUPLICATE_ID", candidates.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), F.col("id"), F.col("n")),
+            rule("DUPLICATE_HASH", candidates.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), F.col("hash"), F.col("n")),
+            rule("SENSITIVE", candidates.filter(F.size(sensitive_codes(F.coalesce("text", F.lit("")))) > 0), F.col("id")),
+            rule("ISSUES_AND_STATUS", provenance.filter(quarantined != (F.size(F.coalesce("issue_codes", F.array().cast("array<string>"))) > 0)), F.col("id")),
+        ]
+    )
+
+
+def fingerprint(manifest: dict) -> str:
+    """Digest of a manifest or metadata object in canonical JSON."""
+    import hashlib
+    import json
+
+    return hashlib.sha256(json.dumps(manifest, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False).encode()).hexdigest()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -165,20 +166,20 @@ def preflight(rows: DataFrame, limit: int, sealed_families: DataFrame | None = N
     return union(parts)
 
 
+_TOKENIZERS: dict[str, object] = {}
+
+
 def bpe_tokens(c: Column, path: str) -> Column:
     """Token ids of a text under a tokenizer file of the ``tokenizers`` library, loaded once for each worker."""
-    import pandas as pd
-
-    cache: dict[str, object] = {}
 
-    @F.pandas_udf(ArrayType(IntegerType()))
     def encode(s: pd.Series) -> pd.Series:
         from tokenizers import Tokenizer
 
-        if path not in cache:
-            cache[path] = Tokenizer.from_file(path)
-            cache[path].encode_special_tokens = True
-        got = cache[path].encode_batch([x or "" for x in s], add_special_tokens=False)
+        if path not in _TOKENIZERS:
+            t = Tokenizer.from_file(path)
+            t.encode_special_tokens = True
+            _TOKENIZERS[path] = t
+        got = _TOKENIZERS[path].encode_batch([x or "" for x in s], add_special_tokens=False)
         return pd.Series([None if x is None else e.ids for x, e in zip(s, got)], dtype=object)
 
-    return encode(c)
+    return F.pandas_udf(encode, ArrayType(IntegerType()))(c)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from curata.functions import identity as I  # noqa: E741
@@ -191,6 +193,13 @@ def q16(spark, d):
     return reports.code_counts(t.select(F.transform("checks", lambda x: x["code"]).alias("codes")), "codes")
 
 
+@query("t04_evidence", f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), h AS (SELECT doc_id, i FROM l WHERE regexp_matches(x, {quote(Q.LINE_PATTERNS[0][3])}) AND regexp_matches(x, {quote(Q.MATH_LINE)})) SELECT doc_id, count(*) AS count, array_to_string(list(i ORDER BY i)[1:30], ',') AS line_numbers FROM h GROUP BY 1")
+def t04(spark, d):
+    """Line numbers of formulas that end with an operator."""
+    e = Q.evidence(docs(spark, d), "doc_id").filter("code = 'INCOMPLETE_MATH'")
+    return e.select("doc_id", "count", F.array_join(F.transform("line_numbers", lambda i: i.cast("string")), ",").alias("line_numbers"))
+
+
 @query("q28_statuses")
 def q28(spark, d):
     t = Q.statuses(Q.inspect(docs(spark, d)))
@@ -430,6 +439,41 @@ def r03(spark, d):
     return retrieval.search(p, n, q, 3).withColumn("score", F.round("score", 6))
 
 
+def _leaders(spark, d):
+    return docs(spark, d).select(F.col("doc_id").alias("expected"), F.get(F.split("text", "\n"), F.lit(0)).alias("query"))
+
+
+@query("r05_regression")
+def r05(spark, d):
+    """Whether a document is among the first three for its own first line, over every hundredth document as a query."""
+    p, n = retrieval.postings(docs(spark, d), "doc_id")
+    q = _leaders(spark, d).filter("expected % 100 = 0").withColumn("query_id", F.col("expected"))
+    return retrieval.regression(retrieval.search(p, n, q.select("query_id", F.substring("query", 1, 2000).alias("query")), 3), q.select("query_id", "expected"))
+
+
+@query("n03_recall")
+def n03(spark, d):
+    """Recall at one, three and five of the same queries."""
+    p, n = retrieval.postings(docs(spark, d), "doc_id")
+    q = _leaders(spark, d).filter("expected % 100 = 0").withColumn("query_id", F.col("expected"))
+    return retrieval.recall(retrieval.search(p, n, q.select("query_id", F.substring("query", 1, 2000).alias("query")), 5), q.select("query_id", F.col("expected").alias("id")))
+
+
+@query("k02_bpe_tokens")
+def k02(spark, d):
+    """Tokens of each document under a public vocabulary; its folder is a parameter of the environment."""
+    path = os.environ.get("CURATA_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.json"
+    return docs(spark, d).select("doc_id", F.size(packing.bpe_tokens(F.col("text"), path)).alias("n_tokens"))
+
+
+@query("prj11_first_domain", "WITH p AS (SELECT lower(trim(id)) AS id, min(path) FILTER (WHERE path IN ('D_Algebra_part.jsonl', 'D_Circuits_part.jsonl', 'D_Thermal_part.jsonl')) AS path FROM candidates GROUP BY 1) SELECT id, CASE path WHEN 'D_Algebra_part.jsonl' THEN 'algebra' WHEN 'D_Circuits_part.jsonl' THEN 'circuits' WHEN 'D_Thermal_part.jsonl' THEN 'thermal' ELSE 'generic' END AS domain FROM p")
+def prj11(spark, d):
+    """Domain of the alphabetically first path of a record that has one."""
+    c = table(spark, d, "candidates").groupBy(F.lower(F.trim("id")).alias("id")).agg(F.collect_set("path").alias("paths"))
+    known = {"D_Algebra_part.jsonl": "algebra", "D_Circuits_part.jsonl": "circuits", "D_Thermal_part.jsonl": "thermal"}
+    return c.select("id", sampling.first_domain(F.col("paths"), known, "generic").alias("domain"))
+
+
 def flagship(spark, d):
     t = docs(spark, d)
     keep = dedup.exact_dedup(t, F.sha2("text", 256), ["doc_id"], ["doc_id", "lang", "text"])

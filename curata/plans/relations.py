@@ -97,6 +97,14 @@ def g03(spark, d):
     return families.membership(_exact(spark, d)).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("g04_refinalized", "WITH RECURSIVE x AS (SELECT doc_id::VARCHAR AS id, document_family AS f, sha256(text) AS h, n_chars FROM documents), e AS (SELECT id AS a, 'f ' || f AS b FROM x WHERE f IS NOT NULL UNION SELECT y.id, z.id FROM x y JOIN x z ON y.h = z.h AND y.id < z.id WHERE y.n_chars >= 400 AND z.n_chars >= 400), b AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), k AS (SELECT x, min(x) AS r FROM b GROUP BY x), r(id, seen) AS (SELECT x, x FROM b UNION SELECT r.id, b.y FROM r JOIN b ON b.x = r.seen) SELECT id, min(seen) AS root FROM r GROUP BY id")
+def g04(spark, d):
+    """Families made final again: recorded membership and exact texts together."""
+    t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "document_family", F.sha2("text", 256).alias("h"), "n_chars", F.lit(False).alias("always"))
+    e = t.filter("document_family is not null").select(F.col("id").alias("a"), F.concat(F.lit("f "), "document_family").alias("b"))
+    return families.components(e.union(families.exact_text_edges(t, "id", "h", "n_chars", "always", 400)))
+
+
 @query("g05_title_groups", r"WITH t AS (SELECT doc_id, lower(trim(regexp_replace(string_split(text, chr(10))[1], '[^\pL\pN]+', ' ', 'g'))) AS title FROM documents) SELECT title, count(*) AS n FROM t WHERE length(title) > 10 GROUP BY 1 HAVING count(*) >= 2")
 def g05(spark, d):
     """Titles of several documents: recorded, never merged."""

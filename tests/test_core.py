@@ -428,3 +428,37 @@ def test_entry_and_queries(spark):
 
     rows = e.entry(spark).collect()
     assert rows and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_metadata_guards(spark):
+    d = spark.createDataFrame([("a", {"x": "ok"}), ("a", {"y": "ok"}), (" ", {"x": "no"})], "id string, decl map<string,string>")
+    assert {(r.rule, r.entity) for r in guards.metadata_violations(d, "id", ["id", "more"]).collect()} == {("FIELDS", "decl"), ("FIELDS", "more"), ("BLANK_KEY", ""), ("DUPLICATE_KEY", "a")}
+    assert {(r.rule, r.entity) for r in guards.declared_violations(d, "id", "decl", ["x"], ["ok"]).collect()} == {("DECLARATIONS_MISSING", "a"), ("DECLARATION_UNKNOWN", " ")}
+    reg = spark.createDataFrame([("s", "r1", 0, 5, 9, "p", "1"), ("s", "r2", 5, 5, 9, "p", "2")], "source string, region string, start int, stop int, length int, path string, sha256 string")
+    sel = spark.createDataFrame([("s", "r1"), ("s", "r3")], "source string, region string")
+    assert {r.rule for r in guards.region_violations(reg, sel).collect()} == {"SPAN_BOUNDS", "DIGEST_CONFLICT", "NOT_COVERED", "NOT_SELECTED"}
+    pins = spark.createDataFrame([("a", 1, "x"), ("b", 3, "y")], "id string, no int, v string").withColumn("d", F.when(F.col("id") == "a", F.sha2(F.to_json(F.struct("id", "v")), 256)).otherwise("0"))
+    assert {(r.rule, r.entity) for r in guards.pin_violations(pins, "id", ["v", "id"], "d", "no").collect()} == {("PIN_CHANGED", "b"), ("NUMBERING", "2")}
+    assert guards.fingerprint({"b": 1, "a": "é"}) == hashlib.sha256('{"a":"é","b":1}'.encode()).hexdigest()
+
+
+def test_staging_invariants(spark):
+    h = "f" * 64
+    c = spark.createDataFrame([("repo-" + h[:24], h, "fine"), ("bad", h, "password: abcd")], "id string, hash string, text string")
+    p = spark.createDataFrame([("repo-" + h[:24], "quarantined", []), ("other", "reviewed", [])], "id string, review_status string, issue_codes array<string>")
+    got = {r.rule for r in guards.staging_violations(c, p).collect()}
+    assert got == {"NO_PROVENANCE", "NO_CANDIDATE", "ID_NOT_OF_HASH", "DUPLICATE_HASH", "SENSITIVE", "ISSUES_AND_STATUS"}
+
+
+def test_evidence_lines(spark):
+    t = "\n".join(["x = 1 +"] * 40 + ["fine"])
+    r = {x.code: x for x in Q.evidence(spark.createDataFrame([(1, t), (2, None)], "id int, text string"), "id").collect()}
+    assert r["INCOMPLETE_MATH"]["count"] == 40 and r["INCOMPLETE_MATH"].line_numbers == list(range(1, 31))
+
+
+def test_batches(spark):
+    d = spark.createDataFrame([(1, 0, [1, 2]), (2, 0, [3]), (3, 1, [4])], "id int, b int, t array<int>")
+    got = {r.batch: r.rows for r in packing.collate(packing.right_pad(d, "t", 9, "b"), F.col("b"), "t", "id").collect()}
+    assert got == {0: [[1, 2], [3, 9]], 1: [[4]]}
+    c = packing.completion_batch(spark.createDataFrame([([5, 6], [7])], "p array<int>, c array<int>"), "p", "c", 4).first()
+    assert c.input_ids == [5, 6, 7, 0] and c.labels == [-100, -100, 7, -100]
