@@ -102,13 +102,10 @@ def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot:
     salt, so no task gets more than about ``hot`` rows of one key. Where no key is
     hot the join is a plain one. Null keys match nothing.
     """
-    spark = left.sparkSession
     counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > hot) & F.col(key).isNotNull())
-    heavy = Stage(counts.select(F.col(key), F.ceil(F.col("_n") / hot).cast("int").alias("_salts")), "hot")
-    if not heavy.df.head(1):
-        heavy.drop()
+    if not counts.head(1):
         return left.join(right, key, how)
-    del spark
+    heavy = Stage(counts.select(F.col(key), F.ceil(F.col("_n") / hot).cast("int").alias("_salts")), "hot")
     # at most rows/hot keys; a plain join, so the planner broadcasts it only under its own size limit
     l2 = left.join(heavy.df, key, "left").withColumn(
         "_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.col("_salts"))).otherwise(F.lit(0)).cast("int")
