@@ -26,7 +26,7 @@ def exact_matches(anchors: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def template_matches(anchors: DataFrame, others: DataFrame) -> DataFrame:
-    """``(anchor, other)`` of texts that differ in numbers only; uncertain, never merged."""
+    """``(anchor, other)`` of texts that differ in numbers only; uncertain, yet bound by the reference like every edge."""
     a = anchors.select(F.col("id").alias("anchor"), "template")
     m = a.join(others.select(F.col("id").alias("other"), "template"), "template").filter("anchor <> other").select("anchor", "other")
     return m.join(exact_matches(anchors, others), ["anchor", "other"], "left_anti")

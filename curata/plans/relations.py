@@ -82,19 +82,20 @@ G_SQL = (
 )
 
 
-def _exact(spark, d):
-    e = table(spark, d, "edges").filter("kind = 'EXACT_PROMPT'")
+def _bound(spark, d):
+    """Edges of every kind, as the reference's loop binds them; ``G_SQL`` still binds EXACT_PROMPT alone and disagrees."""
+    e = table(spark, d, "edges")
     return e.select(clean_id(F.col("anchor")).alias("a"), clean_id(F.col("other")).alias("b")).filter("a is not null and b is not null")
 
 
 @query("g01_components", G_SQL + "SELECT id, root FROM c")
 def g01(spark, d):
-    return families.components(_exact(spark, d))
+    return families.components(_bound(spark, d))
 
 
 @query("g03_family_names", G_SQL + "SELECT 'family-' || substr(sha256(root), 1, 24) AS family, count(*) AS n FROM c GROUP BY 1")
 def g03(spark, d):
-    return families.membership(_exact(spark, d)).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    return families.membership(_bound(spark, d)).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("g04_refinalized", "WITH RECURSIVE x AS (SELECT doc_id::VARCHAR AS id, document_family AS f, sha256(text) AS h, n_chars FROM documents), e AS (SELECT id AS a, 'f ' || f AS b FROM x WHERE f IS NOT NULL UNION SELECT y.id, z.id FROM x y JOIN x z ON y.h = z.h AND y.id < z.id WHERE y.n_chars >= 400 AND z.n_chars >= 400), b AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), k AS (SELECT x, min(x) AS r FROM b GROUP BY x), r(id, seen) AS (SELECT x, x FROM b UNION SELECT r.id, b.y FROM r JOIN b ON b.x = r.seen) SELECT id, min(seen) AS root FROM r GROUP BY id")
@@ -117,7 +118,7 @@ def g05(spark, d):
 def g06(spark, d):
     """Components whose members are in more than one split."""
     s = table(spark, d, "families").filter("trim(split) <> ''").select(clean_id(F.col("id")).alias("id"), F.lower(F.trim("split")).alias("split")).distinct()
-    return families.uniform_components(families.components(_exact(spark, d)).join(s, "id"), ["split"])
+    return families.uniform_components(families.components(_bound(spark, d)).join(s, "id"), ["split"])
 
 
 @query("g07_taint", "WITH RECURSIVE e AS (SELECT DISTINCT lower(trim(anchor)) AS p, lower(trim(other)) AS c FROM edges WHERE anchor IS NOT NULL AND other IS NOT NULL), t(id) AS (SELECT DISTINCT lower(trim(id)) FROM candidates WHERE len(issue_codes) > 0 UNION SELECT e.c FROM t JOIN e ON e.p = t.id) SELECT id FROM t")
