@@ -42,6 +42,9 @@ DANGLING = set(
     est sont était ne pas se sa ses leur leurs entre sous sans comme plus moins après avant cette ces""".split()
 )
 
+# Those of them that end no sentence without its punctuation either ("sets in", "fällt aus" do).
+_NEVER_LAST = set("the an and or of than which whose if because although der den dem des ein eine einen einem einer eines und oder dass weil obwohl el los las unos unas del porque aunque les du et ou parce".split())
+
 
 def bare(s: str) -> str:
     """The text without white space and marks at its end."""
@@ -71,9 +74,9 @@ def _open(line: str) -> bool:
 
 
 def _punctuated(s: str) -> bool:
-    """Whether the text ends sentences with a mark at all (copies with the punctuation taken out don't)."""
+    """Whether the text has punctuation, commas and colons included (copies with it taken out keep a mark after a label or number at most)."""
     ws = len(re.findall(r"\S+", s))
-    return ws < 12 or len(re.findall(r"[.!?](?=\s|$)", s)) * 40 >= ws
+    return ws < 12 or len(re.findall(r"[.,;:!?。！？](?=\s|$)", s)) * 40 >= ws
 
 
 def stop_kind(s: str | None, punctuated: bool | None = None) -> str | None:
@@ -122,6 +125,8 @@ def stop_kind(s: str | None, punctuated: bool | None = None) -> str | None:
         return None
     if len(lines) > 1 and not lines[-2].strip() and len(last.split()) <= 8 and not re.search(r"[a-zäöüß]{2,} [a-zäöüß]{2,} [a-zäöüß]{2,}", last):
         return None if re.search(r"\d", last) and len(last.split()) <= 3 else "sentence"
+    if word and last.endswith(word[-1]) and word[-1].lower() in _NEVER_LAST:
+        return "sentence"
     if not (_punctuated(t) if punctuated is None else punctuated):
         return None
     return "sentence"
