@@ -95,15 +95,21 @@ def learning_rates(spark, steps: int, warmup: int, rate: float, least: float = 0
     return spark.range(steps).withColumnRenamed("id", "step").withColumn("lr", F.when(s < warmup, rate * (s + 1) / max(warmup, 1)).otherwise(decay))
 
 
+BLOCK = 500  # resamples that a task draws at once
+
+
 def bootstrap(df: DataFrame, stratum: str, cluster: str, value: str, resamples: int = 10_000, seed: int = 13) -> DataFrame:
     """Percentile interval of the stratum-mean of means, clusters resampled with replacement by Poisson weights.
 
     Each cluster draws its weight for each resample from its own hash, so the
     resamples are one explode and two partial aggregates, whatever the rows.
+    Blocks of resamples are spread over the tasks.
     """
     d = df.select(F.col(stratum).alias("st"), F.col(cluster).alias("cl"), F.col(value).alias("v"))
     c = d.groupBy("st", "cl").agg(F.sum("v").alias("s"), F.count("v").alias("n"))
-    r = c.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
+    blocks = -(-resamples // BLOCK)
+    r = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k")).repartition(blocks, "k")
+    r = r.select("st", "cl", "s", "n", F.explode(F.sequence(F.col("k") * BLOCK + 1, F.least((F.col("k") + 1) * BLOCK, F.lit(resamples)))).alias("b"))
     u = (F.pmod(F.xxhash64(F.lit(seed), "b", "st", "cl"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     cuts, total, p = [], 0.0, math.exp(-1)
     for k in range(1, 12):
@@ -114,3 +120,9 @@ def bootstrap(df: DataFrame, stratum: str, cluster: str, value: str, resamples:
     m = r.withColumn("w", w).groupBy("b", "st").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("m"))
     macro = m.groupBy("b").agg(F.avg("m").alias("m"))
     return macro.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.avg("m").alias("mean"))
+
+
+def paired_bootstrap(df: DataFrame, stratum: str, cluster: str, base: str, adapter: str, resamples: int = 10_000, seed: int = 13) -> DataFrame:
+    """:func:`bootstrap` of adapter minus base, over the rows that have both."""
+    d = df.select(F.col(stratum), F.col(cluster), (F.col(adapter) - F.col(base)).alias("difference")).filter("difference is not null")
+    return bootstrap(d, stratum, cluster, "difference", resamples, seed)

@@ -188,7 +188,7 @@ def w04(spark, d):
 
 @query("n04_bootstrap")
 def n04(spark, d):
-    return kernels.bootstrap(events(spark, d).filter("value is not null"), "event_type", "user_id", "value", resamples=200)
+    return kernels.bootstrap(events(spark, d).filter("value is not null"), "event_type", "user_id", "value")
 
 
 @query("x_windowed_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -3,7 +3,8 @@
 import hashlib
 
 from curata.llm import cuts
-from curata.plans import relations
+from curata.operators import kernels
+from curata.plans import numbers, relations
 from test_core import union_find
 
 KINDS = ["EXACT_PROMPT", "LEXICAL_NEAR_COPY_CONSERVATIVE_BIND", "PROMPT_CONTAINED_IN_SOURCE", "NUMERIC_TEMPLATE_UNCERTAIN"]
@@ -35,3 +36,20 @@ def test_first_sentence_with_commas_is_not_stripped():
     ]
     whole = [plain + "work ended", plain + "seal leakage sets in", "Step 5: " + plain + "work ended"]
     assert [s for s in cut if not cuts.stop_kind(s)] == [] and [s for s in whole if cuts.stop_kind(s)] == []
+
+
+def test_bootstrap_draws_all_resamples(spark, tmp_path, monkeypatch):
+    rows = [(f"s{i % 2}", i % 20, float(i % 7)) for i in range(200)]
+    save(spark, tmp_path, "events", rows, "event_type string, user_id int, value double")
+    full = kernels.bootstrap(spark.createDataFrame(rows, "st string, cl int, v double"), "st", "cl", "v", resamples=10_000).first()
+    got = numbers.n04(spark, str(tmp_path)).first()
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, full))
+    monkeypatch.setattr(kernels, "BLOCK", 10_000)
+    whole = numbers.n04(spark, str(tmp_path)).first()
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, whole))
+
+
+def test_paired_bootstrap(spark):
+    t = spark.createDataFrame([("s", i % 20, float(i), float(i) + 2) for i in range(200)] + [("s", 1, None, 9.0)], "s string, c int, base double, adapter double")
+    b = kernels.paired_bootstrap(t, "s", "c", "base", "adapter", resamples=300).first()
+    assert all(abs(x - 2) < 1e-9 for x in b)
