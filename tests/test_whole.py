@@ -4,7 +4,7 @@ import hashlib
 
 from curata.llm import cuts
 from curata.operators import kernels
-from curata.plans import numbers, relations
+from curata.plans import corpus, numbers, relations
 from test_core import union_find
 
 KINDS = ["EXACT_PROMPT", "LEXICAL_NEAR_COPY_CONSERVATIVE_BIND", "PROMPT_CONTAINED_IN_SOURCE", "NUMERIC_TEMPLATE_UNCERTAIN"]
@@ -53,3 +53,10 @@ def test_paired_bootstrap(spark):
     t = spark.createDataFrame([("s", i % 20, float(i), float(i) + 2) for i in range(200)] + [("s", 1, None, 9.0)], "s string, c int, base double, adapter double")
     b = kernels.paired_bootstrap(t, "s", "c", "base", "adapter", resamples=300).first()
     assert all(abs(x - 2) < 1e-9 for x in b)
+
+
+def test_queries_over_the_limit_are_refused(spark, tmp_path):
+    rows = [(100, "valve " * 400 + "\nend."), (200, "pump station\nend."), (201, "gear box\nend.")]
+    save(spark, tmp_path, "documents", rows, "doc_id long, text string")
+    assert {r.query_id: r.hit for r in corpus.r05(spark, str(tmp_path)).collect()} == {100: False, 200: True}
+    assert tuple(corpus.n03(spark, str(tmp_path)).first()) == (2, 0.5, 0.5, 0.5)
