@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.functions.identity import canon, digest, family_id, shingles, template
-from curata.operators.graph import contract_components, number
-from curata.runtime import lookup
+from curata.operators.graph import contracted, named, number
+from curata.runtime import Stage, lookup
 
 MIN_SHINGLES, NEAR, CONTAINED = 10, 0.85, 0.95
 
@@ -75,12 +75,10 @@ def matches(anchors: DataFrame, others: DataFrame, same_prompt: bool = False) ->
 
 def components(edges: DataFrame) -> DataFrame:
     """``(id, root)``, the smallest id of each component over string edges ``(a, b)``; self pairs give lone ids."""
-    ids = number(edges.select(F.explode(F.array("a", "b")).alias("id")))
-    n = lookup(edges.filter("a <> b"), ids.df.select(F.col("id").alias("a"), F.col("v").alias("x")), "a", "inner")
-    n = lookup(n, ids.df.select(F.col("id").alias("b"), F.col("v").alias("y")), "b", "inner")
-    lab = contract_components(n.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    full = ids.df.join(lab, "v", "left").select("id", F.coalesce("root", "v").alias("root"))
-    return lookup(full, ids.df.select(F.col("v").alias("root"), F.col("id").alias("name")), "root", "inner").select("id", F.col("name").alias("root"))
+    e = Stage(edges.select("a", "b").distinct(), "edges")
+    ids, of = number(e.df.select(F.explode(F.array("a", "b")).alias("id")))
+    lab = contracted(e.df.select(of(F.col("a")).alias("a"), of(F.col("b")).alias("b")))
+    return named(lab, ids)
 
 
 def membership(edges: DataFrame) -> DataFrame:
@@ -103,8 +101,6 @@ def uniform_components(members: DataFrame, attributes: list[str]) -> DataFrame:
 
 def tainted(edges: DataFrame, marked: DataFrame) -> DataFrame:
     """``(id)`` of everything that descends from a marked id over edges ``(parent, child)``: frontier by frontier."""
-    from curata.runtime import Stage
-
     seen = Stage(marked.select("id").distinct(), "taint")
     front = seen.df
     while True:

@@ -77,13 +77,13 @@ def j16(spark, d):
 # ---- graphs -----------------------------------------------------------------------------------------------------
 
 G_SQL = (
-    "WITH RECURSIVE e AS (SELECT DISTINCT lower(trim(anchor)) AS x, lower(trim(other)) AS y FROM edges WHERE kind = 'EXACT_PROMPT' AND anchor IS NOT NULL AND other IS NOT NULL), "
+    "WITH RECURSIVE e AS (SELECT DISTINCT lower(trim(anchor)) AS x, lower(trim(other)) AS y FROM edges WHERE trim(anchor) <> '' AND trim(other) <> ''), "
     "b AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r(id, seen) AS (SELECT x, x FROM b UNION SELECT r.id, b.y FROM r JOIN b ON b.x = r.seen), c AS (SELECT id, min(seen) AS root FROM r GROUP BY id) "
 )
 
 
 def _bound(spark, d):
-    """Edges of every kind, as the reference's loop binds them; ``G_SQL`` still binds EXACT_PROMPT alone and disagrees."""
+    """Edges of every kind; ``NUMERIC_TEMPLATE_UNCERTAIN`` binds like the others."""
     e = table(spark, d, "edges")
     return e.select(clean_id(F.col("anchor")).alias("a"), clean_id(F.col("other")).alias("b")).filter("a is not null and b is not null")
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import copy
 import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
@@ -57,15 +58,25 @@ def _shuffles_dropped(spark: SparkSession):
 
 
 class Stage:
-    """A table written to the shared folder: its lineage is cut and survives lost executors."""
+    """A table written to the shared folder: its lineage is cut and survives lost executors.
 
-    def __init__(self, df: DataFrame, label: str) -> None:
+    ``rows`` and the named aggregates ``seen`` are observed while it is written,
+    so that no job has to count or look at it afterwards.
+    """
+
+    def __init__(self, df: DataFrame, label: str, **measures: Column) -> None:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
         _WRITTEN.add((self.spark.sparkContext.applicationId, self.path))
+        aggs = {"rows": F.count(F.lit(1)), **measures}
+        watch = Observation()
         with _shuffles_dropped(self.spark):
-            df.write.option("compression", "zstd").parquet(self.path)
+            df.observe(watch, *[c.alias(k) for k, c in aggs.items()]).write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        got = watch.get
+        if "rows" not in got:  # the planner has found the table empty and measured nothing
+            got = self.df.agg(*[c.alias(k) for k, c in aggs.items()]).first().asDict()
+        self.rows, self.seen = got.pop("rows"), got
 
     def drop(self) -> None:
         """Deletes the files; no frame may read them afterwards."""
@@ -73,6 +84,14 @@ class Stage:
         _delete(self.spark, self.path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that this session has staged; no result of an earlier operator may be read afterwards."""
+    app = spark.sparkContext.applicationId
+    for path in [p for a, p in _WRITTEN if a == app]:
+        _WRITTEN.discard((app, path))
+        _delete(spark, path)
+
+
 @atexit.register
 def _sweep() -> None:
     live = SparkSession.getActiveSession()
@@ -93,27 +112,70 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return Stage(df, label).df
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot: int = 200_000) -> DataFrame:
-    """Join of ``left`` with ``right``, whose ``key`` is unique, safe for hot keys.
+HOT = 200_000  # rows of one key that a task may get
+FEW = 1_000_000  # hot keys that are broadcast; beyond that the planner chooses
+
+
+class HotKeys:
+    """The keys with more than ``hot`` rows of ``left``, and how many shares of ``hot`` rows they fill.
+
+    There are at most ``rows / hot`` of them; where ``left`` is known to have no
+    more than ``hot`` rows, there are none and nothing is counted. Null keys are
+    counted like others.
+    """
 
-    A key with more than ``hot`` rows of ``left`` counts as hot; there are at most
-    ``rows / hot`` of them. Their rows are spread over as many salts as they fill
-    shares of ``hot`` rows, and only the matching row of ``right`` is repeated per
-    salt, so no task gets more than about ``hot`` rows of one key. Where no key is
-    hot the join is a plain one. Null keys match nothing.
+    def __init__(self, left: DataFrame, key: str, hot: int = HOT, rows: int | None = None) -> None:
+        self.key, self.heavy, self.nulls = key, None, 1
+        if rows is not None and rows <= hot:
+            return
+        n = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot)
+        s = Stage(n.select(F.col(key), F.ceil(F.col("_n") / hot).cast("int").alias("_salts")), "hot", nulls=F.max(F.when(F.col(key).isNull(), F.col("_salts"))))
+        self.nulls = s.seen["nulls"] or 1
+        if s.rows == (self.nulls > 1):
+            s.drop()
+            return
+        keys = s.df.filter(F.col(key).isNotNull())
+        self.heavy = F.broadcast(keys) if s.rows <= FEW else keys
+
+    def renamed(self, key: str) -> HotKeys:
+        """The same keys under another column name."""
+        out = copy.copy(self)
+        out.key, out.heavy = key, None if self.heavy is None else self.heavy.withColumnRenamed(self.key, key)
+        return out
+
+    def salted(self, left: DataFrame) -> DataFrame:
+        spread = lambda n: F.pmod(F.xxhash64(*left.columns), n)
+        null = F.col(self.key).isNull() & F.lit(self.nulls > 1)
+        if self.heavy is None:
+            return left.withColumn("_salt", F.when(null, spread(F.lit(self.nulls))).otherwise(F.lit(0)).cast("int"))
+        x = left.join(self.heavy, self.key, "left")
+        return x.withColumn("_salt", F.when(null, spread(F.lit(self.nulls))).when(F.col("_salts").isNotNull(), spread(F.col("_salts"))).otherwise(F.lit(0)).cast("int")).drop("_salts")
+
+    def repeated(self, right: DataFrame) -> DataFrame:
+        if self.heavy is None:
+            return right.withColumn("_salt", F.lit(0))
+        x = right.join(self.heavy, self.key, "left")
+        return x.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_salts")
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot: int = HOT, rows: int | None = None, keys: HotKeys | None = None) -> DataFrame:
+    """Join of ``left`` with ``right``, whose ``key`` is unique, safe for hot and null keys.
+
+    A key with more than ``hot`` rows of ``left`` counts as hot. Its rows are
+    spread over as many salts as they fill shares of ``hot`` rows, and only the
+    matching row of ``right`` is repeated per salt, so no task gets more than
+    about ``hot`` rows of one key. Null keys match nothing; a left join spreads
+    their rows alike. Rows are spread by their hash: ``left`` should have no
+    great number of identical rows.
+
+    The hot keys are counted here, by a job over the key column of ``left``,
+    which should therefore be staged; no job runs if ``rows``, the known size of
+    ``left``, is not above ``hot``, or if ``keys`` brings them.
     """
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > hot) & F.col(key).isNotNull())
-    if not counts.head(1):
+    found = keys or HotKeys(left if how == "left" else left.filter(F.col(key).isNotNull()), key, hot, rows)
+    if found.heavy is None and (found.nulls == 1 or how == "inner"):
         return left.join(right, key, how)
-    heavy = Stage(counts.select(F.col(key), F.ceil(F.col("_n") / hot).cast("int").alias("_salts")), "hot")
-    # at most rows/hot keys; a plain join, so the planner broadcasts it only under its own size limit
-    l2 = left.join(heavy.df, key, "left").withColumn(
-        "_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.col("_salts"))).otherwise(F.lit(0)).cast("int")
-    ).drop("_salts")
-    r2 = right.join(heavy.df, key, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))
-    ).drop("_salts")
-    return l2.join(r2, [key, "_salt"], how).drop("_salt")
+    return found.salted(left).join(found.repeated(right), [key, "_salt"], how).drop("_salt")
 
 
 def clean_id(c: Column) -> Column:
