@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.operators.graph import contract_components, number
-from curata.runtime import clean_id, lookup
+from curata.operators.graph import contracted, named, number
+from curata.runtime import HOT, Stage, clean_id
 
 MIN_SCORE = 0.85
 
@@ -24,19 +24,15 @@ def binding_pairs(edges: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     return e.filter(ok).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def consolidate(pairs: DataFrame, hot: int = 200_000) -> DataFrame:
+def consolidate(pairs: DataFrame, hot: int = HOT) -> DataFrame:
     """``(id, group_id)`` for each id in ``pairs(a, b)``; ``group_id`` is the smallest id of the group.
 
-    By tree contraction (:func:`curata.operators.graph.contract_components`):
+    By tree contraction (:func:`curata.operators.graph.contracted`):
     vertices of degree one are stripped, chains compressed by list ranking, the
     core solved, labels restored. Rows with a null end and self pairs bind
     nothing; an empty table gives an empty result.
     """
-    pairs = pairs.select("a", "b").filter("a <> b")
-    ids = number(pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    n = lookup(pairs, ids.df.select(F.col("id").alias("a"), F.col("v").alias("x")), "a", "inner", hot)
-    n = lookup(n, ids.df.select(F.col("id").alias("b"), F.col("v").alias("y")), "b", "inner", hot)
-    labels = contract_components(n.select(F.col("x").alias("a"), F.col("y").alias("b")), hot)
-    named = labels.join(ids.df, "v").select("id", "root")
-    roots = ids.df.join(labels.select(F.col("root").alias("v")).distinct(), "v", "left_semi").select(F.col("v").alias("root"), F.col("id").alias("group_id"))
-    return lookup(named, roots, "root", "inner", hot).select("id", "group_id")
+    p = Stage(pairs.select("a", "b").filter("a <> b"), "pairs")
+    ids, of = number(p.df.select(F.explode(F.array("a", "b")).alias("id")))
+    labels = contracted(p.df.select(of(F.col("a")).alias("a"), of(F.col("b")).alias("b")), hot)
+    return named(labels, ids, hot).select("id", F.col("root").alias("group_id"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curata.operators.graph import frontier_components, number
-from curata.runtime import Stage, clean_id, lookup
+from curata.runtime import HOT, Stage, clean_id, lookup
 
 # Holders that stand for no holder, compared in lower case without spacing and punctuation.
-HOLDER_STAND_INS = ["", "na", "na", "none", "null", "nil", "nan", "unknown", "unspecified", "notstated", "notspecified", "notavailable", "notapplicable", "missing", "tbd", "tba", "todo", "pending", "unassigned", "undefined", "anonymous"]
+HOLDER_STAND_INS = ["", "na", "none", "null", "nil", "nan", "unknown", "unspecified", "notstated", "notspecified", "notavailable", "notapplicable", "missing", "tbd", "tba", "todo", "pending", "unassigned", "undefined", "anonymous"]
 # Fixed value: sha256 of the empty string.
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 # Spellings of the splits in lower case without spacing and punctuation; anything else that is not unset stands for itself.
@@ -38,7 +38,7 @@ def clean_digest(c):
     return F.when(t.rlike("^[0-9a-f]{64}$") & (t != EMPTY_SHA256), t)
 
 
-def related_groups(families: DataFrame, rights: DataFrame, hot: int = 200_000) -> DataFrame:
+def related_groups(families: DataFrame, rights: DataFrame, hot: int = HOT) -> DataFrame:
     """``(id, group_id)`` for each record of ``families``.
 
     Records share a group if they share a family, or if their families share a
@@ -56,21 +56,20 @@ def related_groups(families: DataFrame, rights: DataFrame, hot: int = 200_000) -
     # a record in several families binds them as a star around its first
     many = rec.df.groupBy("id").agg(F.min("family").alias("m"), F.max("family").alias("x")).filter("m < x").select("id", "m")
     linked = rec.df.join(many, "id").filter("family > m").select(F.concat(F.lit("f "), "m").alias("a"), F.concat(F.lit("f "), "family").alias("b"))
-    edges = r.select("a", F.explode(F.array("h", "d")).alias("b")).filter("b is not null").union(linked).distinct()
-    edges = Stage(edges, "bonds")
-    ids = number(edges.df.select(F.explode(F.array("a", "b")).alias("id")))
-    n = lookup(edges.df, ids.df.select(F.col("id").alias("a"), F.col("v").alias("x")), "a", "inner", hot)
-    n = lookup(n, ids.df.select(F.col("id").alias("b"), F.col("v").alias("y")), "b", "inner", hot)
-    comp = frontier_components(n.select(F.col("x").alias("a"), F.col("y").alias("b")), hot=hot)
-    of = ids.df.filter("id like 'f %'").join(comp, "v").select(F.expr("substring(id, 3)").alias("family"), F.col("root").cast("string").alias("c"))
+    edges = Stage(r.select("a", F.explode(F.array("h", "d")).alias("b")).filter("b is not null").union(linked).distinct(), "bonds")
+    ids, of = number(edges.df.select(F.explode(F.array("a", "b")).alias("id")))
+    comp = frontier_components(edges.df.select(of(F.col("a")).alias("a"), of(F.col("b")).alias("b")), hot=hot)
+    edges.drop()
+    families_of = ids.df.filter("id like 'f %'").join(comp, "v").select(F.expr("substring(id, 3)").alias("family"), F.col("root").cast("string").alias("c"))
     # a family that nothing binds is a component of its own, a record without one as well
     key = F.coalesce(F.concat(F.lit("c "), "c"), F.concat(F.lit("f "), "family"), F.concat(F.lit("r "), "id"))
-    tagged = Stage(lookup(rec.df, of, "family", "left", hot).select("id", key.alias("c")).distinct(), "tagged")
+    tagged = Stage(lookup(rec.df, families_of, "family", "left", hot, rec.rows).select("id", key.alias("c")).distinct(), "tagged")
+    rec.drop()
     low = tagged.df.groupBy("c").agg(F.min("id").alias("group_id"))
-    return lookup(tagged.df, low, "c", "inner", hot).select("id", "group_id").distinct()
+    return lookup(tagged.df, low, "c", "inner", hot, tagged.rows).select("id", "group_id").distinct()
 
 
-def split_conflicts(families: DataFrame, groups: DataFrame, hot: int = 200_000) -> DataFrame:
+def split_conflicts(families: DataFrame, groups: DataFrame, hot: int = HOT) -> DataFrame:
     """``(id, group_id)`` of all records of each group whose recorded splits disagree.
 
     Spellings are unified; unset splits are ignored.
@@ -81,7 +80,7 @@ def split_conflicts(families: DataFrame, groups: DataFrame, hot: int = 200_000)
     return lookup(groups, bad, "group_id", "inner", hot).select("id", "group_id")
 
 
-def assign_splits(groups: DataFrame, targets: DataFrame, salt: str = "split", hot: int = 200_000) -> DataFrame:
+def assign_splits(groups: DataFrame, targets: DataFrame, salt: str = "split", hot: int = HOT) -> DataFrame:
     """``(id, group_id, split)``: every group in one split, shares near the targets.
 
     Groups are laid side by side in the order of a salted hash, each as long as
