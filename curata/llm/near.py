@@ -1,9 +1,10 @@
 """Near-duplicate records with small edits (problem 6).
 
 Two records match if at least half of the distinct runs of three words that
-either has are in both (Jaccard). The search is exact up to 64-bit hashes of
-runs: a prefix filter sends each record to the shards of its rarer runs, and in
-each shard a BK-tree over parity bitmaps finds all partners within the radius.
+either has are in both (Jaccard). A prefix filter sends each distinct record to
+the shards of its rarer runs, in each shard a BK-tree over parity bitmaps finds
+all partners within the radius, and the pairs that are left are compared word by
+word. Runs are 53-bit hashes of 64-bit hashes of words until that comparison.
 
 Why the radius loses nothing: the Hamming distance of two parity bitmaps never
 exceeds the size of the symmetric difference of the sets, and Jaccard >= t
@@ -12,8 +13,6 @@ holds exactly if that size is at most (1 - t) / (1 + t) * (|A| + |B|).
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from curata.functions import text as T
 from curata.llm.copies import _role
-from curata.runtime import Stage, clean_id
+from curata.runtime import Stage, clean_id, lookup
 
 BITS = 512  # parity bitmap of a record's runs in the shards
 WIDE = 1024  # parity bitmap of a record's runs before pairs are compared in full
@@ -30,30 +29,72 @@ SKETCH = 1 << 23  # counters in each of the two rows of the count-min sketch of
 CHUNK = 1 << 18
 ROWS = 2000  # texts that are taken apart at a time; their numbers fit 11 bits
 EXACT = 100  # counts up to this are kept as they are, larger ones rounded up on a scale of four steps to the double
-ROW = 4 + BITS // 8  # bytes of a posting: number of runs and role, bitmap
+HEAD = 4 + BITS // 8  # bytes of a posting row before its shards: number of runs, bitmap
 BLOCK = 4096  # shards that may hold more records are divided
-WORD_CACHE = 500_000
+BUCKET = 1_000_000  # postings that one task of the search gets; their shards are told apart by 47 bits
 VISITS = 500_000  # pairs of query and node that are looked at together
 
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD1342543DE82EF95  # odd, so it has an inverse modulo 2^64
+_BYTES = np.random.Generator(np.random.PCG64(7)).integers(1, 2**64 - 1, 256, np.uint64)
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse, modulo 2^64."""
+    if len(_POWERS.get("up", ())) < n:
+        size = max(1 << 16, 1 << (n - 1).bit_length())
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            _POWERS[name] = np.multiply.accumulate(x)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
 
-def _word_ids(batches):
-    cache: dict[str, int] = {}
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and 64-bit hash of each word of texts that are words between single spaces.
+
+    ``data`` holds the bytes of all texts, ``off`` where each begins. A word's
+    hash is a polynomial in its bytes, read off a prefix sum, and mixed.
+    """
+    rows, hashes = [], []
+    k = 0
+    while k < len(off) - 1:
+        # about half a million bytes at a time, whole texts
+        stop = max(k + 1, int(np.searchsorted(off, off[k] + (1 << 19), "right")) - 1)
+        x = data[off[k] : off[stop]]
+        if len(x):
+            space = x == 32
+            edge = np.zeros(len(x) + 1, bool)  # a text begins or ends here
+            edge[off[k:stop] - off[k]] = True
+            edge[-1] = True
+            first = ~space & (edge[:-1] | np.concatenate([[True], space[:-1]]))
+            last = ~space & (edge[1:] | np.concatenate([space[1:], [True]]))
+            at, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+            up, down = _powers(len(x))
+            total = np.zeros(len(x) + 1, np.uint64)
+            np.cumsum(_BYTES[x] * up, out=total[1:])
+            h = (total[end] - total[at]) * down[at]
+            h ^= h >> np.uint64(32)
+            h *= _GOLD
+            h ^= h >> np.uint64(29)
+            hashes.append(h)
+            rows.append(np.searchsorted(off[k : stop + 1] - off[k], at, "right") - 1 + k)
+        k = stop
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
+def _words(batches):
     for b in batches:
         out, leaf = [], []
-        for s in b.column("content").to_pylist():
-            ws = T.words(s or "")
+        for s, role in zip(b.column("content").to_pylist(), b.column("role").to_pylist()):
+            t = " ".join(T.words(s or ""))
             obj = T.json_object(s) if s else None
-            leaf.append(T.digest(b"t", "".join(ws).encode()) if obj is None else T.merkle(obj))
-            got = []
-            for w in ws:
-                v = cache.get(w)
-                if v is None:
-                    v = cache[w] = zlib.crc32(w.encode())
-                got.append(v)
-            out.append(np.array(got, np.uint32).tobytes())
-        if len(cache) > WORD_CACHE:
-            cache.clear()
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("turn"), b.column("role"), pa.array(leaf, pa.binary()), pa.array(out, pa.binary())], ["id", "turn", "role", "leaf", "words"])
+            leaf.append(T.digest(b"t", t.replace(" ", "").encode()) if obj is None else T.merkle(obj))
+            out.append("" if role == "system" else t)
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("turn"), b.column("role"), pa.array(leaf, pa.binary()), pa.array(out, pa.string())], ["id", "turn", "role", "leaf", "words"])
 
 
 def _small(batches):
@@ -63,9 +104,9 @@ def _small(batches):
 
 
 def _hashes(words: np.ndarray) -> np.ndarray:
-    """64-bit hash of each run of three word ids."""
+    """64-bit hash of each run of three word hashes."""
     a = words.astype(np.uint64)
-    h = a[:-2] * np.uint64(0x9E3779B97F4A7C15)
+    h = a[:-2] * _GOLD
     h ^= h >> np.uint64(29)
     h = (h + a[1:-1]) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
@@ -74,17 +115,19 @@ def _hashes(words: np.ndarray) -> np.ndarray:
 
 
 def _runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct runs of each text of a column of at most ``ROWS`` texts of word ids.
+    """Distinct runs of each text of a column of at most ``ROWS`` texts, words between spaces.
 
     Row numbers (ascending), hashes of 53 bits (ascending in a row) and runs per
     row; row and hash are sorted as one number.
     """
-    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    words = np.frombuffer(data, np.uint32, count=off[-1] // 4)[off[0] // 4 :] if data is not None and len(column) else np.zeros(0, np.uint32)
-    row = np.repeat(np.arange(len(column), dtype=np.uint64), np.diff(off) // 4)
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(column), np.int64)
+    if not len(column) or column.buffers()[2] is None:
+        return none
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    row, words = word_hashes(np.frombuffer(column.buffers()[2], np.uint8), off)
     if len(words) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(column), np.int64)
+        return none
+    row = row.astype(np.uint64)
     same = row[:-2] == row[2:]
     key = (row[:-2][same] << np.uint64(53)) | (_hashes(words)[same] >> np.uint64(11))
     key.sort()
@@ -173,8 +216,11 @@ def _shard(h: np.ndarray, i: np.ndarray, j: np.ndarray, divided: np.ndarray) ->
     return np.where(divided, x, h).view(np.int64)
 
 
-def postings(words: DataFrame, counts, t: float) -> DataFrame:
-    """``(shard, unit, row)``: each record in the shards of the runs of its prefix; ``row`` is its runs' number, role and bitmap.
+def postings(words: DataFrame, counts, t: float, buckets: int) -> DataFrame:
+    """``(bucket, unit, row)``: each record once in every bucket that has shards of it.
+
+    ``row`` is the number of its runs, its bitmap and, in six bytes each, its
+    shards of that bucket, with a bit for those where it is a node.
 
     Runs are taken rarest first by the sketch. A partner with Jaccard >= t shares
     a run that is among the first n - ceil(t n) + 1 of both and, for the smaller
@@ -205,22 +251,40 @@ def postings(words: DataFrame, counts, t: float) -> DataFrame:
             idx = rank < nr - np.ceil(2 * t / (1 + t) * nr - 1e-9) + 1
             unit = np.asarray(b.column("unit"))
             blocks = -(-df // BLOCK)
-            mine = (unit[row].astype(np.uint64) >> np.uint64(17)).astype(np.int64) % blocks
-            rep = np.repeat(np.arange(len(row)), blocks)
-            other = np.arange(len(rep)) - (np.cumsum(blocks) - blocks)[rep]
-            shard = _shard(h[rep], np.minimum(mine[rep], other), np.maximum(mine[rep], other), blocks[rep] > 1)
-            head = ((nr[rep] << 1) | idx[rep]).astype(np.uint32)
-            flat = np.ascontiguousarray(np.concatenate([head.view(np.uint8).reshape(-1, 4), bits[row[rep]]], axis=1)).reshape(-1)
-            fixed = pa.Array.from_buffers(pa.binary(ROW), len(rep), [None, pa.py_buffer(flat)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(unit[row[rep]]), fixed], ["shard", "unit", "row"])
-
-    return words.select("unit", "words").mapInArrow(run, "shard long, unit long, row binary")
-
-
-def bk_forest(group: np.ndarray, unit: np.ndarray, n: np.ndarray, w: np.ndarray, node: np.ndarray, query: np.ndarray, t: float) -> np.ndarray:
+            if (blocks > 1).any():
+                mine = (unit[row].astype(np.uint64) >> np.uint64(17)).astype(np.int64) % blocks
+                rep = np.repeat(np.arange(len(row)), blocks)
+                other = np.arange(len(rep)) - (np.cumsum(blocks) - blocks)[rep]
+                shard = _shard(h[rep], np.minimum(mine[rep], other), np.maximum(mine[rep], other), blocks[rep] > 1).view(np.uint64)
+                row, idx = row[rep], idx[rep]
+            else:
+                shard = h
+            x = shard * _GOLD
+            bucket = ((x >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+            tail = ((x & np.uint64((1 << 47) - 1)) << np.uint64(1)) | idx.astype(np.uint64)
+            o = np.argsort(row * buckets + bucket, kind="stable")
+            row, bucket, tail = row[o], bucket[o], tail[o]
+            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])]))
+            size = HEAD + 6 * np.diff(np.append(first, len(row)))
+            end = np.cumsum(size)
+            inside = np.arange(end[-1]) - np.repeat(end - size, size)
+            flat = np.empty(end[-1], np.uint8)
+            r = row[first]
+            flat[inside < HEAD] = np.concatenate([n[r].astype(np.uint32).view(np.uint8).reshape(-1, 4), bits[r]], axis=1).ravel()
+            flat[inside >= HEAD] = tail.view(np.uint8).reshape(-1, 8)[:, :6].ravel()
+            off = np.concatenate([[0], end]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(off), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(unit[r]), packed], ["bucket", "unit", "row"])
+
+    return words.select("unit", "words").mapInArrow(run, "bucket int, unit long, row binary")
+
+
+def bk_forest(group: np.ndarray, unit: np.ndarray, n: np.ndarray, w: np.ndarray, node: np.ndarray, query: np.ndarray, t: float, rec: np.ndarray | None = None) -> np.ndarray:
     """Pairs of units within the radius, by one BK-tree per group, all trees grown and searched together.
 
-    ``node`` and ``query`` are rows. The root of a tree is its first node, and a
+    ``node`` and ``query`` are postings, ``group`` and ``rec`` the shard and the
+    record of each posting (without ``rec``, each is a record), ``unit``, ``n`` and
+    ``w`` name, number of runs and bitmap of each record. The root of a tree is its first node, and a
     node's children are keyed by their integer Hamming distance to it. A query
     of n runs looks for nodes of m <= n runs at a distance of at most
     (1 - t) / (1 + t) * (n + m); it follows an edge only if the key is within the
@@ -230,6 +294,8 @@ def bk_forest(group: np.ndarray, unit: np.ndarray, n: np.ndarray, w: np.ndarray,
     f = (1 - t) / (1 + t)
     dist = lambda p, q: np.bitwise_count(w[p] ^ w[q]).sum(1, dtype=np.int64)
     tree, qtree = group[node], group[query]
+    if rec is not None:
+        node, query = rec[node], rec[query]
     pairs = [np.zeros((0, 2), np.int64)]
     while len(node) and len(query):
         # nodes sorted by tree; the first is the root
@@ -263,7 +329,7 @@ def bk_forest(group: np.ndarray, unit: np.ndarray, n: np.ndarray, w: np.ndarray,
     return np.unique(np.concatenate(pairs), axis=0)
 
 
-def _search(g: np.ndarray, unit: np.ndarray, n: np.ndarray, idx: np.ndarray, w: np.ndarray, t: float):
+def _search(g: np.ndarray, rec: np.ndarray, unit: np.ndarray, n: np.ndarray, idx: np.ndarray, w: np.ndarray, t: float):
     """Runs :func:`bk_forest` over slices of at most ``VISITS`` possible visits, which bounds memory."""
     size, some = np.bincount(g), np.bincount(g, weights=idx).astype(np.int64)
     ends = np.cumsum(size)
@@ -278,74 +344,82 @@ def _search(g: np.ndarray, unit: np.ndarray, n: np.ndarray, idx: np.ndarray, w:
         if len(nodes):
             step = len(rows) if work <= VISITS else max(1, VISITS // len(nodes))
             for x in range(0, len(rows), step):
-                yield bk_forest(g, unit, n, w, nodes, rows[x : x + step], t)
+                yield bk_forest(g, unit, n, w, nodes, rows[x : x + step], t, rec)
         k = stop
 
 
-def candidates(shards: DataFrame, t: float) -> DataFrame:
+def candidates(rows: DataFrame, t: float, buckets: int) -> DataFrame:
     """Pairs of units ``(a, b)`` that a BK-tree of some shard finds within the radius.
 
-    A shard is bounded by ``BLOCK`` (a pair of blocks by twice that), so a few
-    thousand rows are held at a time, and rows meet in the order of their shard.
+    A bucket is one task of about ``BUCKET`` postings, sorted by shard there; a
+    shard is bounded by ``BLOCK`` (a pair of blocks by twice that).
     """
 
-    def work(shard: np.ndarray, unit: np.ndarray, raw: np.ndarray):
-        new = np.ones(len(shard), bool)
-        new[1:] = shard[1:] != shard[:-1]
-        g = np.cumsum(new) - 1
-        head = np.ascontiguousarray(raw[:, :4]).view(np.uint32)[:, 0].astype(np.int64)
-        n, idx = head >> 1, (head & 1).astype(bool)
-        live = (np.bincount(g)[g] > 1) & (np.bincount(g, weights=idx)[g] > 0)
-        if not live.any():
-            return None
-        g = np.unique(g[live], return_inverse=True)[1]
-        w = np.ascontiguousarray(raw[live, 4:]).view(np.uint64)
-        got = np.concatenate([np.zeros((0, 2), np.int64), *_search(g, unit[live], n[live], idx[live], w, t)])
-        got = np.unique(np.sort(got, axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"]) if len(got) else None
-
     def run(batches):
-        held: list[tuple] = []
-        rows = 0
+        heads, units, tails, recs = [], [], [], []
+        seen = 0
         for b in batches:
             col = b.column("row")
-            raw = np.frombuffer(col.buffers()[2], np.uint8, count=ROW * (col.offset + len(col)))[ROW * col.offset :].reshape(-1, ROW) if len(col) else np.zeros((0, ROW), np.uint8)
-            held.append((np.asarray(b.column("shard")), np.asarray(b.column("unit")), raw))
-            rows += len(col)
-            if rows < 20_000:
+            if not len(col):
                 continue
-            shard, unit, raw = (np.concatenate(x) for x in zip(*held))
-            last = np.flatnonzero(shard != shard[-1])
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut and (out := work(shard[:cut], unit[:cut], raw[:cut])) is not None:
-                yield out
-            held, rows = [(shard[cut:], unit[cut:], raw[cut:])], len(shard) - cut
-        if held:
-            shard, unit, raw = (np.concatenate(x) for x in zip(*held))
-            if len(shard) and (out := work(shard, unit, raw)) is not None:
-                yield out
-
-    return shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long").distinct()
+            off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+            flat = np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]]
+            size = np.diff(off)
+            inside = np.arange(len(flat)) - np.repeat(off[:-1] - off[0], size)
+            heads.append(flat[inside < HEAD].reshape(-1, HEAD))
+            tails.append(flat[inside >= HEAD].reshape(-1, 6))
+            units.append(np.asarray(b.column("unit")))
+            recs.append(np.repeat(np.arange(seen, seen + len(col)), (size - HEAD) // 6))
+            seen += len(col)
+        if not seen:
+            return
+        head, six, unit, rec = (np.concatenate(x) for x in (heads, tails, units, recs))
+        del heads, tails
+        n = np.ascontiguousarray(head[:, :4]).view(np.uint32)[:, 0].astype(np.int64)
+        w = np.ascontiguousarray(head[:, 4:]).view(np.uint64)
+        tail = np.zeros((len(six), 8), np.uint8)
+        tail[:, :6] = six
+        tail = tail.view(np.uint64)[:, 0]
+        o = np.argsort(tail, kind="stable")
+        tail, rec = tail[o], rec[o]
+        shard, idx = tail >> np.uint64(1), (tail & np.uint64(1)).astype(bool)
+        g = np.cumsum(np.concatenate([[False], shard[1:] != shard[:-1]]))
+        live = (np.bincount(g)[g] > 1) & (np.bincount(g, weights=idx)[g] > 0)
+        if not live.any():
+            return
+        g, rec, idx = g[live], rec[live], idx[live]
+        g = np.cumsum(np.concatenate([[False], g[1:] != g[:-1]]))
+        got, rows_ = [], 0
+        for x in _search(g, rec, unit, n, idx, w, t):
+            got.append(x)
+            rows_ += len(x)
+            if rows_ > 4 * VISITS:
+                got = [np.unique(np.sort(np.concatenate(got), axis=1), axis=0)]
+                rows_ = len(got[0])
+                if rows_ > 2 * VISITS:
+                    yield pa.RecordBatch.from_arrays([pa.array(got[0][:, 0]), pa.array(got[0][:, 1])], ["a", "b"])
+                    got, rows_ = [], 0
+        if got:
+            x = np.unique(np.sort(np.concatenate(got), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+    return rows.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "a long, b long").distinct()
 
 
 def _joined(batches):
     for b in _small(batches):
-        turns = b.column("t")
-        flat = turns.flatten()
-        words = flat.field("words")
-        off, cut = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1], np.asarray(turns.offsets) - np.asarray(turns.offsets)[0]
-        text = pa.Array.from_buffers(pa.binary(), len(turns), [None, pa.py_buffer(np.ascontiguousarray(off[cut])), words.buffers()[2]])
+        text = b.column("words")
         row, h, n = _runs(text)
         # a unit is a set of runs together with the digest of the whole record
         two = h * np.uint64(0xD6E8FEB86659FD93)
         two ^= two >> np.uint64(32)
-        sums = np.zeros((len(turns), 2), np.uint64)
+        sums = np.zeros((b.num_rows, 2), np.uint64)
         np.add.at(sums[:, 0], row, h)
         np.add.at(sums[:, 1], row, two)
         root = b.column("root").to_pylist()
         unit = [int.from_bytes(T.digest(r, s.tobytes())[:8], "little", signed=True) for r, s in zip(root, sums)]
-        wide = np.ascontiguousarray(_bitmaps(row, h, len(turns), WIDE)).reshape(-1)
-        bits = pa.Array.from_buffers(pa.binary(WIDE // 8), len(turns), [None, pa.py_buffer(wide)]).cast(pa.binary())
+        wide = np.ascontiguousarray(_bitmaps(row, h, b.num_rows, WIDE)).reshape(-1)
+        bits = pa.Array.from_buffers(pa.binary(WIDE // 8), b.num_rows, [None, pa.py_buffer(wide)]).cast(pa.binary())
         cols = [b.column("id"), b.column("root"), pa.array(unit, pa.int64()), pa.array(n.astype(np.int32)), bits, text]
         yield pa.RecordBatch.from_arrays(cols, ["id", "root", "unit", "n", "wide", "words"]).filter(pa.array(n > 0))
 
@@ -353,17 +427,18 @@ def _joined(batches):
 def record_words(messages: DataFrame) -> DataFrame:
     """``(id, root, unit, n, wide, words)`` of each record with at least three words outside system turns.
 
-    ``words`` are the 32-bit ids of the words of all its turns in order, ``root``
-    is the digest of problem 5 (equal for copies), ``unit`` a hash of the root
-    and the set of runs, ``n`` the size of that set and ``wide`` its bitmap. Null ids are left out; repeated rows count once.
+    ``words`` are the words of all its turns in order, between single spaces,
+    ``root`` is the digest of problem 5 (equal for copies), ``unit`` a hash of
+    the root and the set of runs, ``n`` the size of that set and ``wide`` its
+    bitmap. Null ids are left out; repeated rows count once.
     """
     m = messages.select(clean_id(F.col("id")).alias("id"), F.col("turn").cast("int").alias("turn"), _role(F.col("role")).alias("role"), "content").filter("id is not null")
-    w = m.mapInArrow(_word_ids, "id string, turn int, role string, leaf binary, words binary")
-    w = w.withColumn("words", F.when(F.col("role") == "system", F.lit(b"")).otherwise(F.col("words")))
+    w = m.mapInArrow(_words, "id string, turn int, role string, leaf binary, words string")
     turns = w.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "leaf", "words"))).alias("t"))
     node = F.transform("t", lambda x: F.concat_ws(":", x["role"], F.hex(x["leaf"])))
     root = F.unhex(F.md5(F.array_join(node, "|"))).alias("root")
-    return turns.select("id", root, F.transform("t", lambda x: F.struct(x["words"].alias("words"))).alias("t")).mapInArrow(_joined, "id string, root binary, unit long, n int, wide binary, words binary")
+    whole = F.array_join(F.transform("t", lambda x: x["words"]), " ").alias("words")
+    return turns.select("id", root, whole).mapInArrow(_joined, "id string, root binary, unit long, n int, wide binary, words string")
 
 
 def _close(t: float):
@@ -381,41 +456,68 @@ def _close(t: float):
 
 
 def _verified(t: float):
+    """Pairs that reach ``t`` word by word."""
+
+    def runs(s: str) -> set:
+        w = s.split()
+        return set(zip(w, w[1:], w[2:]))
+
     def run(batches):
-        for b in _small(batches):
-            (ra, ha, na), (rb, hb, nb) = _runs(b.column("wa")), _runs(b.column("wb"))
-            row, h = np.concatenate([ra, rb]), np.concatenate([ha, hb])
-            o = np.lexsort((h, row))
-            row, h = row[o], h[o]
-            twice = (row[1:] == row[:-1]) & (h[1:] == h[:-1])
-            both = np.bincount(row[1:][twice], minlength=b.num_rows)
-            keep = both >= t * (na + nb - both) - 1e-9
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep & (na > 0) & (nb > 0)))
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("wa").to_pylist(), b.column("wb").to_pylist()):
+                p, q = runs(x), runs(y)
+                both = len(p & q)
+                keep.append(both > 0 and both >= t * (len(p) + len(q) - both) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def near_pairs(messages: DataFrame, t: float = 0.5) -> DataFrame:
-    """``(id_a, id_b)``, ``id_a < id_b``: all pairs of records with Jaccard >= ``t`` that are no copies of each other.
+def near_units(messages: DataFrame, t: float = 0.5) -> tuple[Stage, DataFrame]:
+    """Pairs ``(a, b)`` of units with Jaccard >= ``t`` that are no copies of each other, and the members ``(unit, id)`` of the units that have a pair.
+
+    A unit is a distinct record: copies (by :func:`record_words`' ``root``) with
+    one set of runs are searched for once, however many there are.
 
     Words compare folded, without punctuation; system turns are left out, null
     content is empty; records of fewer than three words match nothing; an empty
     table gives an empty result. No pair is dropped: hot runs are divided, not cut.
     """
     spark = messages.sparkSession
-    words = Stage(record_words(messages), "words")
-    counts = spark.sparkContext.broadcast(sketch(words.df))  # 16 MB, whatever the corpus
-    cand = Stage(candidates(postings(words.df, counts, t), t), "pairs")
-    units = words.df.groupBy("unit").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.first("wide").alias("wide"))
-    side = lambda c: units.select(F.col("unit").alias(c), F.col("root").alias(f"r{c}"), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"x{c}"))
-    both = cand.df.join(side("a"), "a").join(side("b"), "b").filter("ra <> rb").select("a", "b", "na", "nb", "xa", "xb")
-    near = Stage(both.mapInArrow(_close(t), "a long, b long"), "near")
+    words = Stage(record_words(messages), "words", runs=F.sum("n"))
+    names = words.df.select("unit", "id")
+    more = Stage(names.join(names.groupBy("unit").agg(F.min("id").alias("id")), "id", "left_anti").select("id"), "copies")
+    once = words.df.join(more.df, "id", "left_anti") if more.rows else words.df
+    counts = spark.sparkContext.broadcast(sketch(once))  # 16 MB, whatever the corpus
+    posted = (words.seen["runs"] or 0) * (1 - t)
+    buckets = max(1, int(posted // BUCKET) + 1, min(spark.sparkContext.defaultParallelism, int(posted // (BUCKET // 10)) + 1))
+    cand = Stage(candidates(postings(once, counts, t, buckets), t, buckets), "pairs")
+    counts.destroy()
+    units = Stage(once.select("unit", "root", "n", "wide"), "units")
+    more.drop()
+
+    def side(c):
+        return units.df.select(F.col("unit").alias(c), F.col("root").alias(f"r{c}"), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"x{c}"))
+
+    both = lookup(lookup(cand.df, side("a"), "a", "inner", rows=cand.rows), side("b"), "b", "inner", rows=cand.rows)
+    near = Stage(both.filter("ra <> rb").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_close(t), "a long, b long"), "near")
+    cand.drop()
+    units.drop()
     # only the texts of what is left are compared in full
     named = near.df.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
-    members = Stage(words.df.select("unit", "id", "words").join(named, "unit"), "members")
+    members = Stage(words.df.select("unit", "id", "words").join(named, "unit", "left_semi"), "members")
+    words.drop()
     texts = members.df.groupBy("unit").agg(F.min_by("words", "id").alias("words"))
-    pair = near.df.join(texts.select(F.col("unit").alias("a"), F.col("words").alias("wa")), "a").join(texts.select(F.col("unit").alias("b"), F.col("words").alias("wb")), "b")
+    pair = lookup(near.df, texts.select(F.col("unit").alias("a"), F.col("words").alias("wa")), "a", "inner", rows=near.rows)
+    pair = lookup(pair, texts.select(F.col("unit").alias("b"), F.col("words").alias("wb")), "b", "inner", rows=near.rows)
     good = Stage(pair.select("a", "b", "wa", "wb").mapInArrow(_verified(t), "a long, b long"), "good")
-    of = members.df.select("unit", "id")
+    near.drop()
+    return good, members.df.select("unit", "id")
+
+
+def near_pairs(messages: DataFrame, t: float = 0.5) -> DataFrame:
+    """``(id_a, id_b)``, ``id_a < id_b``: all pairs of records of :func:`near_units`."""
+    good, of = near_units(messages, t)
     x = good.df.join(of.select(F.col("unit").alias("a"), F.col("id").alias("x")), "a").join(of.select(F.col("unit").alias("b"), F.col("id").alias("y")), "b")
     return x.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
