@@ -338,3 +338,30 @@ def test_cut_documents(spark):
     r = cuts.cut_rates(d, cuts.cut_documents(d)).first()
     assert (r.source, r.n_documents, r.n_cut, r.share) == ("s", 10, 4, 0.4)
     assert cuts.cut_documents(d.limit(0)).collect() == []
+
+
+def test_leaks_of_identical_and_nested_items(spark):
+    """Items that share their text, or stand inside another, have no passage of their own; a text that carries them whole leaks them all."""
+    r = random.Random(16)
+    w = [f"w{k}" for k in range(60)]
+    prompts = {"same1": " ".join(w[:12]), "same2": " ".join(w[:12]).upper() + ".", "inner": " ".join(w[20:32]), "outer": " ".join(w[14:44]), "far": " ".join(f"z{k}" for k in range(14))}
+    fill = lambda: " ".join(f"f{r.randrange(500)}" for _ in range(30))
+    pass_ = lambda k, word="other": " ".join(word if i == k else x for i, x in enumerate(w[34:42]))
+    docs = {1: fill() + " " + " ".join(w[:12]) + " " + fill(), 2: fill() + " " + " ".join(w[20:32]) + " " + fill(), 3: " ".join(w[14:44]), 4: " ".join(w[20:28]), 5: " ".join(w[34:39]) + " " + fill()}
+    # eight words with one of them replaced, at each place
+    docs |= {10 + k: fill() + " " + pass_(k) + " " + fill() for k in range(8)}
+    t = table(spark, list(prompts.items()), "task_id string, prompt string")
+    got = {tuple(x) for x in leaks.leaks(table(spark, list(docs.items()), "doc_id long, text string"), t).collect()}
+    want = {(1, "same1"), (1, "same2"), (2, "inner"), (3, "inner"), (3, "outer")} | {(10 + k, "outer") for k in range(8)}
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_prefix_of_each_window(seed):
+    """Any three runs of a window of eight words include one that is looked up."""
+    import itertools
+
+    g = np.random.default_rng(seed)
+    h, df = g.integers(0, 1 << 40, 30), g.integers(1, 5, 30)
+    must = leaks.prefix_places(df, h)
+    assert all(must[[s + i for i in three]].any() for s in range(25) for three in itertools.combinations(range(6), 3))
