@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.functions import text as T
-from curata.runtime import Stage, clean_id, lookup
+from curata.runtime import HOT, Stage, clean_id, lookup
 
 
 def _role(c):
@@ -20,10 +20,14 @@ def _digests(batches):
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("turn"), b.column("role"), pa.array(got, pa.binary())], ["id", "turn", "role", "leaf"])
 
 
-def _structures(batches):
+def _equal(batches):
     for b in batches:
-        got = [T.content_structure(s) for s in b.column("content").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(n) for n in ("id", "keep_id", "turn", "role")] + [pa.array(got, pa.string())], ["id", "keep_id", "turn", "role", "form"])
+        ok, last, forms = [], None, None
+        for kept, s in zip(b.column("kept").to_pylist(), b.column("content").to_pylist()):
+            if forms is None or kept != last:  # copies of one record often follow each other
+                last, forms = kept, {T.content_structure(x) for x in kept or ()}
+            ok.append(s in (kept or ()) or T.content_structure(s) in forms)
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("keep_id"), pa.array(ok, pa.bool_())], ["id", "keep_id", "ok"])
 
 
 def record_digests(messages: DataFrame) -> DataFrame:
@@ -42,28 +46,34 @@ def record_digests(messages: DataFrame) -> DataFrame:
     return turns.select("id", F.unhex(F.md5(F.array_join(node, "|"))).alias("root"))
 
 
-def copies(messages: DataFrame, hot: int = 200_000) -> DataFrame:
+def copies(messages: DataFrame, hot: int = HOT) -> DataFrame:
     """``(keep_id, copy_id)``: each set of copies as its smallest id with each other id.
 
     Records are grouped by :func:`record_digests`; every member is then compared
     in full, turn by turn, with the record that is kept. Records whose turns are
     all empty are copies of each other if their roles agree.
+
+    Only texts of members are moved, one row for each distinct turn; a candidate
+    and the kept record's turn meet as they are and are brought into their
+    canonical form in the same Arrow batch, so no normalised text is shuffled.
     """
     roots = Stage(record_digests(messages), "roots")
     keeps = roots.df.groupBy("root").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    members = Stage(lookup(roots.df, keeps, "root", "inner", hot).select("id", "keep_id"), "members")
-    m = messages.select(clean_id(F.col("id")).alias("id"), F.col("turn").cast("int").alias("turn"), _role(F.col("role")).alias("role"), "content")
-    forms = m.join(members.df, "id").mapInArrow(_structures, "id string, keep_id string, turn int, role string, form string").distinct()
-    forms = Stage(forms, "forms")
-    at = lambda c: F.concat_ws(" ", c, F.col("turn"))
-    kept = forms.df.filter("id = keep_id").select(at("keep_id").alias("at"), F.col("role").alias("krole"), F.col("form").alias("kform"))
-    cand = forms.df.filter("id <> keep_id").select("id", "keep_id", at("keep_id").alias("at"), "role", "form")
-    same = lookup(cand, kept, "at", "left", hot).withColumn("ok", F.coalesce((F.col("role") == F.col("krole")) & (F.col("form") == F.col("kform")), F.lit(False)))
-    ok = same.groupBy("keep_id", "id").agg(F.min("ok").alias("ok")).filter("ok")
+    members = Stage(lookup(roots.df, keeps, "root", "inner", hot, roots.rows).select("id", "keep_id"), "members")
+    roots.drop()
+    m = messages.select(clean_id(F.col("id")).alias("id"), F.col("turn").cast("int").alias("turn"), _role(F.col("role")).alias("role"), F.coalesce("content", F.lit("")).alias("content"))
+    turns = Stage(m.join(members.df, "id").distinct(), "turns")
+    members.drop()
+    at = F.concat_ws(" ", "keep_id", "turn", "role").alias("at")
+    # a turn of one record that stands there in several spellings comes as all of them
+    kept = turns.df.filter("id = keep_id").groupBy(at).agg(F.collect_set("content").alias("kept"))
+    cand = turns.df.filter("id <> keep_id").select("id", "keep_id", at, "content")
+    pairs = lookup(cand, kept, "at", "left", hot, turns.rows).select("id", "keep_id", "content", "kept")
+    ok = pairs.mapInArrow(_equal, "id string, keep_id string, ok boolean").groupBy("keep_id", "id").agg(F.min("ok").alias("ok")).filter("ok")
     return ok.select("keep_id", F.col("id").alias("copy_id"))
 
 
-def collapse(messages: DataFrame, hot: int = 200_000) -> DataFrame:
+def collapse(messages: DataFrame, hot: int = HOT) -> DataFrame:
     """``(keep_id, n_copies)``: one row for each distinct record with the number of its copies, itself included."""
     c = copies(messages, hot)
     ids = messages.select(clean_id(F.col("id")).alias("id")).filter("id is not null").distinct()
