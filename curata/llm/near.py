@@ -31,7 +31,7 @@ ROWS = 2000  # texts that are taken apart at a time; their numbers fit 11 bits
 EXACT = 100  # counts up to this are kept as they are, larger ones rounded up on a scale of four steps to the double
 HEAD = 4 + BITS // 8  # bytes of a posting row before its shards: number of runs, bitmap
 BLOCK = 4096  # shards that may hold more records are divided
-BUCKET = 1_000_000  # postings that one task of the search gets; their shards are told apart by 47 bits
+BUCKET = 2_000_000  # postings that one task of the search gets; their shards are told apart by 47 bits
 VISITS = 500_000  # pairs of query and node that are looked at together
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -231,7 +231,7 @@ def postings(words: DataFrame, counts, t: float, buckets: int) -> DataFrame:
     """
 
     def run(batches):
-        c = counts.value
+        c = np.frombuffer(zstandard.decompress(counts.value), np.uint8)
         for b in _small(batches):
             row, h, n = _runs(b.column("words"))
             if not len(h):
@@ -489,7 +489,7 @@ def near_units(messages: DataFrame, t: float = 0.5) -> tuple[Stage, DataFrame]:
     names = words.df.select("unit", "id")
     more = Stage(names.join(names.groupBy("unit").agg(F.min("id").alias("id")), "id", "left_anti").select("id"), "copies")
     once = words.df.join(more.df, "id", "left_anti") if more.rows else words.df
-    counts = spark.sparkContext.broadcast(sketch(once))  # 16 MB, whatever the corpus
+    counts = spark.sparkContext.broadcast(zstandard.compress(sketch(once).tobytes(), 1))  # 16 MB at most, whatever the corpus
     posted = (words.seen["runs"] or 0) * (1 - t)
     buckets = max(1, int(posted // BUCKET) + 1, min(spark.sparkContext.defaultParallelism, int(posted // (BUCKET // 10)) + 1))
     cand = Stage(candidates(postings(once, counts, t, buckets), t, buckets), "pairs")
