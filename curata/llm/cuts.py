@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from curata.runtime import Stage
+from curata.functions import text as T
+from curata.runtime import FEW, Stage, lookup
+
+CHANCE = 8  # words that two texts don't begin with alike by chance
+SENT = FEW  # digests that are sent everywhere
 
 # Marks that are put where a text was cut.
 MARKS = re.compile(r"(?:…|\.\.\.|\[(?:\.\.\.|…)\]|\((?:\.\.\.|…|more|cont(?:inued|\.)?|weiter|suite|sigue)\)|\[(?:more|truncated|cut|gekürzt|tronqué|truncado)\]|<(?:truncated|cut|more)>|-{2,}\s*(?:more|cut here)\s*-{2,}|(?:read|see) more)\s*$", re.I)
@@ -181,42 +183,72 @@ def shorter_copies(texts: DataFrame, parts: int | None = None) -> DataFrame:
     return near.df.filter("more is not null").select("base", "more").union(over)
 
 
-def goes_on(base: str, more: str) -> bool:
-    """Whether a text that goes on with ``more`` was cut inside a word, a sentence or an open block."""
-    if re.match(r"\w", more) and re.search(r"\w$", base):
-        return True
-    return not (_END.search(base) and re.match(r"\s", more)) and not more.startswith("\n")
+def cut_copies(texts: DataFrame, parts: int | None = None) -> Stage:
+    """``(key, how)``: md5 of the texts of ``texts(base)`` that a longer one goes on with; texts are words between single spaces.
+
+    ``how`` is ``word`` if the longer text (:func:`shorter_copies`) goes on inside
+    the last word, and no text has that word as a whole, followed by another:
+    such a text is cut. It is ``text`` if a longer one goes on with the next word
+    and the text has ``CHANCE`` words or more, as shorter ones begin alike by
+    chance: such a text is cut unless its own end is a complete one.
+    """
+    distinct = Stage(texts.select("base").filter("base is not null and base <> ''").distinct(), "texts")
+    short = Stage(shorter_copies(distinct.df, parts).select("base", (~F.startswith("more", F.lit(" "))).alias("inside")).distinct(), "short")
+    last = F.element_at(F.split("base", " "), -1)
+    ends = short.df.filter("inside").select(last.alias("word")).distinct()
+    # whole words: those that another follows; only the few that are asked for are kept
+    words = distinct.df.select(F.split("base", " ").alias("w")).select(F.explode(F.array_distinct(F.slice("w", F.lit(1), F.size("w") - 1))).alias("word"))
+    whole = words.join(ends, "word", "left_semi").distinct().withColumn("whole", F.lit(True))
+    mid = short.df.filter("inside").withColumn("word", last).join(whole, "word", "left").filter("whole is null").select("base")
+    next_ = short.df.filter(~F.col("inside") & (F.size(F.split("base", " ")) >= CHANCE)).select("base")
+    how = mid.withColumn("how", F.lit("word")).union(next_.withColumn("how", F.lit("text")))
+    out = Stage(how.groupBy(F.md5("base").alias("key")).agg(F.max("how").alias("how")), "cut")
+    for s in (distinct, short):
+        s.drop()
+    return out
+
+
+def flagged(df: DataFrame, keys: Stage) -> DataFrame:
+    """``df`` with ``how`` of its ``key``, null where there is none; a short list is sent everywhere, a long one joined hot keys apart."""
+    if not keys.rows:
+        return df.withColumn("how", F.lit(None).cast("string"))
+    return df.join(F.broadcast(keys.df), "key", "left") if keys.rows <= SENT else lookup(df, keys.df, "key", "left")
+
+
+def _folded(batches):
+    for b in batches:
+        got = [None if s is None else " ".join(T.words(bare(s))) for s in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(got, pa.string())], ["doc_id", "text", "base"])
 
 
-@F.pandas_udf(StringType())
-def _bare(s: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else bare(x) for x in s], dtype=object)
+def _complete(s: str) -> bool:
+    """Whether a text ends as complete ones do: a sentence, or a line that needs no mark."""
+    t = bare(s)
+    last = t.split("\n")[-1]
+    return bool(_END.search(t) or any(x.match(last) for x in (_ITEM, _KEYS, _HEAD, _FORMULA, _SIGN, _FENCE)) or _RESULT.search(last) or last.rstrip().endswith("|"))
 
 
 def _kinds(batches):
     for b in batches:
         got = []
-        for t, base, more in zip(b.column("text").to_pylist(), b.column("base").to_pylist(), b.column("more").to_pylist()):
-            got.append("shorter copy" if more is not None and goes_on(base, more) else stop_kind(t))
+        for t, how in zip(b.column("text").to_pylist(), b.column("how").to_pylist()):
+            got.append("shorter copy" if how == "word" or (how == "text" and not _complete(t)) else stop_kind(t))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.string())], ["doc_id", "kind"])
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
     """``(doc_id, kind)`` of the documents whose text was cut off.
 
-    A text counts as cut if a longer copy elsewhere goes on inside the word,
-    sentence or block in which it stops (:func:`shorter_copies`, after taking off
-    marks like ``[...]``), or if its own end shows it (:func:`stop_kind`).
+    A text counts as cut if a longer one elsewhere goes on inside the word or
+    sentence in which it stops (:func:`cut_copies`, over the words of the folded
+    texts without a mark at their end, so that copies in another case, spacing or
+    punctuation count), or if its own end shows it (:func:`stop_kind`).
     Complete lists, tables, formulas, code, signatures and keyword lines are
     whole whatever their last character. Null and blank texts are not cut. Whole
     texts are compared; repeated rows count once.
     """
-    d = docs.select("doc_id", "text").filter("doc_id is not null").withColumn("base", _bare("text"))
-    short = shorter_copies(d.select("base")).groupBy("base").agg(F.max("more").alias("more"))
-    short = Stage(short, "short")
-    # the texts themselves are shuffled for this join only if there is a shorter copy at all
-    d = d.join(short.df, "base", "left") if short.df.head(1) else d.withColumn("more", F.lit(None).cast("string"))
-    return d.mapInArrow(_kinds, "doc_id long, kind string").filter("kind is not null").distinct()
+    d = docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(_folded, "doc_id long, text string, base string").withColumn("key", F.md5("base"))
+    return flagged(d, cut_copies(d.select("base"))).select("doc_id", "text", "how").mapInArrow(_kinds, "doc_id long, kind string").filter("kind is not null").distinct()
 
 
 def cut_rates(docs: DataFrame, cut: DataFrame) -> DataFrame:

@@ -365,3 +365,35 @@ def test_prefix_of_each_window(seed):
     h, df = g.integers(0, 1 << 40, 30), g.integers(1, 5, 30)
     must = leaks.prefix_places(df, h)
     assert all(must[[s + i for i in three]].any() for s in range(25) for three in itertools.combinations(range(6), 3))
+
+
+@pytest.mark.parametrize("text", ["That is not a subject I engage with, sorry.", "Sorry, but that is not something I am comfortable with.", "Das möchte ich lieber nicht erläutern.", "Je préfère ne pas aborder ce sujet.", "Sorry, answering would go against my guidelines."])
+def test_refusals_that_no_pattern_names(text):
+    """The classifier is fitted on patterns' hits and on sound answers; phrases that no pattern has are found by their words."""
+    sound = [f"{GOOD} Step {i}: the gauge at TE-{i} reads {i} kPa, which is not what we want." for i in range(300)]
+    declined = ["I'm sorry, but I cannot assist with questions of this kind. Please ask a professional."] * 10
+    model = pairs.decline_model(sound + declined)
+    batch = next(iter(pairs._judge([_batch([("x", [(0, "user", Q_EN, False), (1, "assistant", text, False)])])], model)))
+    assert batch.to_pylist()[0]["defect"] == "refusal"
+    assert not any(pairs.declines(s, model) for s in sound)
+
+
+@pytest.mark.parametrize(
+    ("text", "lang"),
+    [("Controllate prima la valvola, perché la guarnizione si usura prima del motore e il valore non è stabile.", "it"), ("Controleer eerst de klep, omdat de afdichting eerder slijt dan de motor en het niet stabiel is.", "nl"), ("首先检查阀门,因为密封件比电机先磨损。", "zh"),
+     ("Sprawdź najpierw zawór, ponieważ uszczelka zużywa się przed silnikiem, a wartość jest niestabilna po każdym uruchomieniu pompy.", "other"), (GOOD, "en"), ("12 kPa", None)],
+)
+def test_languages(text, lang):
+    assert pairs.language(T.words(text)) == lang
+
+
+def test_short_answers_are_compared_too(spark):
+    """No length is left out of the neighbour comparison; a whole word that others begin with is no fragment."""
+    recs = {"a": [("user", Q_EN), ("assistant", "Close the valv")], "b": [("user", Q_EN), ("assistant", "Close the valve now.")], "c": [("user", Q_EN), ("assistant", "No")], "d": [("user", Q_EN), ("assistant", "Nothing is wrong.")], "e": [("user", Q_EN), ("assistant", "There is no leak.")]}
+    got = {tuple(r) for r in pairs.defects(turns(spark, recs)).collect()}
+    assert ("a", 1, "truncated") in got and not {i for i, _, _ in got} & {"b", "d", "e"}
+
+
+def test_echo_of_a_repeated_question():
+    q = T.words(Q_EN)
+    assert pairs.is_echo(q, q + q) and pairs.is_echo(q, q + q + q[:3]) and not pairs.is_echo(q, q + T.words(GOOD))
