@@ -83,15 +83,16 @@ def split_conflicts(families: DataFrame, groups: DataFrame, hot: int = HOT) -> D
 def assign_splits(groups: DataFrame, targets: DataFrame, salt: str = "split", hot: int = HOT) -> DataFrame:
     """``(id, group_id, split)``: every group in one split, shares near the targets.
 
-    Groups are laid side by side in the order of a salted hash, each as long as
+    Groups are laid side by side in the order of a salted md5, each as long as
     it has records; a group gets the split in whose stretch of the whole its
     middle lies. Targets are normalised to sum to one and taken in the order of
     their names; null or non-positive shares take nothing. A group larger than a
     split's share cannot be divided, so the reached share may differ by about
     the size of one group at each boundary.
     """
-    sizes = Stage(groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64(F.lit(salt), "group_id")).withColumn("bin", F.shiftright("h", 52)), "sizes")
-    # prefix sums in two levels: over at most 4096 bins of the hash, then inside each bin
+    sizes = Stage(groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.md5(F.concat(F.lit(f"{salt}:"), "group_id"))), "sizes")
+    sizes.df = sizes.df.withColumn("bin", F.substring("h", 1, 3 if sizes.rows < 1 << 28 else 5))
+    # prefix sums in two levels: over the first digits of the hash (4,096, or a million for more than 2^28 groups), then inside each bin
     bins = sizes.df.groupBy("bin").agg(F.sum("n").alias("t"))
     over = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("before", F.coalesce(F.sum("t").over(over), F.lit(0))).withColumn("total", F.sum("t").over(Window.partitionBy()))

@@ -67,14 +67,15 @@ def clean_name(c: Column) -> Column:
 def _calibrated(rows: DataFrame, known: str, counted: str, out: str) -> DataFrame:
     """``known`` where it is plausible, else ``counted`` times the ratio of both over the rows of the language that are."""
     ok = (F.col(known) > 0) & (F.col(counted) > 0) & (F.col(known) <= PLAUSIBLE * F.col(counted)) & (F.col(counted) <= PLAUSIBLE * F.col(known))
-    r = rows.withColumn("_ok", F.coalesce(ok, F.lit(False)))
-    by = r.filter("_ok").groupBy("lang").agg((F.sum(known) / F.sum(counted)).alias("_ratio"), F.sum(known).alias("_k"), F.sum(counted).alias("_c"))
-    by = Stage(by, "ratios")  # one row for each language
-    whole = by.df.agg(F.sum("_k"), F.sum("_c")).first()
-    overall = whole[0] / whole[1] if whole[1] else 1.0
+    r = Stage(rows.withColumn("_ok", F.coalesce(ok, F.lit(False))), "counted")
+    by = r.df.filter("_ok").groupBy("lang").agg((F.sum(known) / F.sum(counted)).alias("_ratio"), F.sum(known).alias("_k"), F.sum(counted).alias("_c"))
+    by = Stage(by, "ratios", k=F.sum("_k"), c=F.sum("_c"))  # one row for each language
+    overall = by.seen["k"] / by.seen["c"] if by.seen["c"] else 1.0
     est = F.round(F.col(counted) * F.coalesce("_ratio", F.lit(overall))).cast("long")
-    out_ = lookup(r, by.df.select("lang", "_ratio"), "lang", "left")
-    return out_.withColumn(out, F.when(F.col("_ok"), F.col(known)).otherwise(est)).withColumn(f"{out}_known", F.col("_ok").cast("long")).drop("_ok", "_ratio")
+    few = by.df.select("lang", "_ratio")
+    # hundreds of languages at most: their ratios are sent everywhere; should there be more, hot ones are divided
+    x = r.df.join(F.broadcast(few), "lang", "left") if by.rows <= 10_000 else lookup(r.df, few, "lang", "left", rows=r.rows)
+    return x.withColumn(out, F.when(F.col("_ok"), F.col(known)).otherwise(est)).withColumn(f"{out}_known", F.col("_ok").cast("long")).drop("_ok", "_ratio")
 
 
 def _latest(df: DataFrame, key: str, order: list[str], cols: list[str]) -> DataFrame:
@@ -86,9 +87,9 @@ def _latest(df: DataFrame, key: str, order: list[str], cols: list[str]) -> DataF
 def document_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``(source, lang, domain, tokens, tokens_known)`` of each document."""
     d = docs.select("doc_id", F.md5("text").alias("digest"), clean_name(F.col("source")).alias("source"), clean_lang(F.col("lang")).alias("lang"), clean_name(F.col("domain")).alias("domain"), "qwen_tokens").distinct()
+    d = Stage(d, "documents")
     n = Stage(text_tokens(docs.select("text"), path), "tokens")
-    d = lookup(d, n.df, "digest").withColumn("n", F.coalesce("n", F.lit(0)))
-    return _calibrated(d, "qwen_tokens", "n", "tokens")
+    return _calibrated(lookup(d.df, n.df, "digest", rows=d.rows).withColumn("n", F.coalesce("n", F.lit(0))), "qwen_tokens", "n", "tokens")
 
 
 def candidate_counts(cands: DataFrame, messages: DataFrame, reviews: DataFrame, path: str | None = None) -> DataFrame:
@@ -100,9 +101,9 @@ def candidate_counts(cands: DataFrame, messages: DataFrame, reviews: DataFrame,
     c = _latest(c, "id", ["received_at", "created_at"], ["source", "lang", "qwen_tokens", "assistant_tokens"])
     r = reviews.select(clean_id(F.col("id")).alias("id"), clean_name(F.col("domain")).alias("domain"), "reviewed_at", "received_at").filter("id is not null")
     r = _latest(r, "id", ["reviewed_at", "received_at"], ["domain"])
-    m = messages.select(clean_id(F.col("id")).alias("id"), "turn", (F.lower(F.trim(F.col("role"))) == "assistant").alias("said"), F.md5("content").alias("digest")).filter("id is not null").distinct()
+    m = Stage(messages.select(clean_id(F.col("id")).alias("id"), "turn", (F.lower(F.trim(F.col("role"))) == "assistant").alias("said"), F.md5("content").alias("digest")).filter("id is not null").distinct(), "turns")
     n = Stage(text_tokens(messages.select(F.col("content").alias("text")), path), "tokens")
-    m = lookup(m, n.df, "digest")
+    m = lookup(m.df, n.df, "digest", rows=m.rows)
     m = m.groupBy("id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("said"), F.col("n"))), F.lit(0)).alias("na"))
     x = c.join(r, "id", "left").join(m, "id", "left").withColumn("domain", F.coalesce("domain", F.lit("unknown"))).na.fill(0, ["n", "na"])
     return _calibrated(_calibrated(x, "qwen_tokens", "n", "tokens"), "assistant_tokens", "na", "assistant")
