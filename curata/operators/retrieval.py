@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curata.operators.guards import rule, union
+from curata.runtime import Stage
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6  # defaults of the usual full-text engines
 TERM = r"[\p{L}\p{N}]+"
@@ -52,6 +57,105 @@ def search(post: DataFrame, lengths: DataFrame, queries: DataFrame, k: int = 3)
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+QUERIES = 20_000  # queries that are broadcast at a time, at most 2,000 characters each
+PART = 256  # queries that are scored together
+
+
+def _score(block, n: int, avg: float, k: int, dtype):
+    """Scores batches of texts against a block of queries and keeps the ``k`` best texts of each query of a task."""
+
+    def run(batches):
+        import regex
+
+        find = regex.compile(TERM).findall
+        names, index, weight, parts = block.value
+        best: list[list] = [[] for _ in names]
+        for b in batches:
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            row, col, tf, dl = [], [], [], []
+            for i, t in enumerate(texts):
+                ws = find((t or "").lower())
+                dl.append(len(ws))
+                for w, c in Counter(w for w in ws if w in index).items():
+                    row.append(i)
+                    col.append(index[w])
+                    tf.append(c)
+            if not row:
+                continue
+            row, col, tf = np.array(row), np.array(col), np.array(tf, float)
+            x = weight[col] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.array(dl)[row] / avg))
+            for first, terms_, has in parts:
+                at = np.searchsorted(terms_, col)
+                at[at == len(terms_)] = 0
+                ok = terms_[at] == col
+                w = np.zeros((len(ids), len(terms_)))
+                w[row[ok], at[ok]] = x[ok]
+                s = np.round(w @ has, 9)
+                floor = np.array([q[-1][0] * -1 if len(q := best[first + j]) == k else 0.0 for j in range(has.shape[1])])
+                for i, j in zip(*np.nonzero((s > 0) & (s >= floor))):
+                    q = best[first + j]
+                    q.append((-s[i, j], ids[i]))
+                    if len(q) > 4 * k:
+                        q.sort()
+                        del q[k:]
+                for j in range(has.shape[1]):
+                    best[first + j].sort()
+                    del best[first + j][k:]
+        out = [(names[j], i, -s) for j, q in enumerate(best) for s, i in q]
+        if out:
+            a, i, s = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(a, dtype[0]), pa.array(i, dtype[1]), pa.array(s, pa.float64())], ["query_id", "id", "score"])
+
+    return run
+
+
+def search_texts(chunks: DataFrame, queries: DataFrame, k: int = 3, key: str = "id", text: str = "text") -> DataFrame:
+    """``(query_id, id, score, rank)`` as :func:`search`, straight from the texts.
+
+    A frequent term joins nearly every text with every query that has it, so no
+    join is made of that: blocks of ``QUERIES`` queries are broadcast, each text
+    is scored against a block in one pass, a task keeps the ``k`` best of each
+    query, and only those are shuffled. Document frequencies of the asked terms
+    come from a pass of their own.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    if not 1 <= k <= 10:
+        raise ValueError("k must be 1 to 10")
+    spark = chunks.sparkSession
+    c = chunks.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    q = Stage(queries.select("query_id", query_terms(F.col("query")).alias("terms")).filter(F.size("terms") > 0).groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")), "queries")
+    t = c.select(terms(F.col("text")).alias("t"))
+    n, total = t.agg(F.count(F.lit(1)), F.sum(F.size("t"))).first()
+    asked = q.df.select(F.explode("terms").alias("term")).distinct()
+    df = Stage(t.select(F.explode(F.array_distinct("t")).alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
+    idf = df.df.select("term", F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(FLOOR)).alias("idf"))
+    dtype = to_arrow_type(q.df.schema["query_id"].dataType), to_arrow_type(c.schema["id"].dataType)
+    types = dict(q.df.dtypes)["query_id"], dict(c.dtypes)["id"]
+    blocks = -(-q.rows // QUERIES) or 1
+    found = None
+    for i in range(blocks):
+        own = q.df.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        # at most about QUERIES rows of 2,000 characters, and their terms
+        rows = [(r.query_id, r.terms) for r in own.orderBy("query_id").collect()]
+        weight = {r.term: r.idf for r in own.select(F.explode("terms").alias("term")).distinct().join(idf, "term").collect()}
+        index = {w: j for j, w in enumerate(weight)}
+        parts = []
+        for first in range(0, len(rows), PART):
+            some = [[index[w] for w in ts if w in index] for _, ts in rows[first : first + PART]]
+            known = np.unique(np.array([x for ts in some for x in ts], np.int64))
+            has = np.zeros((len(known), len(some)))
+            for j, ts in enumerate(some):
+                has[np.searchsorted(known, ts), j] = 1.0
+            if len(known):
+                parts.append((first, known, has))
+        block = spark.sparkContext.broadcast(([r[0] for r in rows], index, np.array(list(weight.values())), parts))
+        got = c.mapInArrow(_score(block, n, (total or 0) / n if n else 0.0, k, dtype), f"query_id {types[0]}, id {types[1]}, score double")
+        found = got if found is None else found.union(got)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def index_violations(chunks: DataFrame, sealed_families: DataFrame) -> DataFrame:
     """Gates of an index over ``(id, family_id, text, quality_state, rights_disposition, slice_sha256)``."""
     no = lambda c: ~F.coalesce(c, F.lit(False))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from curata.runtime import Stage
+
 # Capability tags by pattern, without regard to case.
 TAGS = {
     "motors_drives": r"(?i)\b(?:motor|drive|torque|back[- ]emf)\b",
@@ -66,12 +68,27 @@ def quota_sample(df: DataFrame, group: str, key: str, budgets: DataFrame | None
     return kept.select(group, key, "rank")
 
 
+def ordinals(df: DataFrame, group: str, order: list[str], parts: int | None = None) -> DataFrame:
+    """``df`` with ``ordinal``, its place in its group by ``order``, counted from 0, without gathering a group in one task.
+
+    Rows are range-partitioned by group and order, so that a large group spans
+    several partitions; their sizes, one row for each group in each partition,
+    give where each partition begins.
+    """
+    s = df.repartitionByRange(parts, group, *order) if parts else df.repartitionByRange(group, *order)
+    s = Stage(s.withColumn("_part", F.spark_partition_id()), "ranges")
+    n = s.df.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = n.select(F.col(group).alias("_g"), "_part", (F.sum("_n").over(Window.partitionBy(group).orderBy("_part")) - F.col("_n")).alias("_before"))
+    r = s.df.withColumn("_r", F.row_number().over(Window.partitionBy("_part", group).orderBy(*order)))
+    j = r.join(before, (r["_part"] == before["_part"]) & r[group].eqNullSafe(before["_g"])).drop(before["_part"])
+    return j.withColumn("ordinal", (F.col("_before") + F.col("_r") - 1).cast("long")).drop("_g", "_before", "_r", "_part")
+
+
 def review_page(df: DataFrame, group: str, order: list[str], offset: int, limit: int, reviewed: DataFrame | None = None, key: str = "id") -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of each group, numbered over the whole group, without those reviewed."""
     if not 1 <= limit <= 100:
         raise ValueError("limit must be 1 to 100")
-    w = Window.partitionBy(group).orderBy(*order)
-    page = df.withColumn("ordinal", F.row_number().over(w) - 1).filter(F.col("ordinal").between(offset, offset + limit - 1))
+    page = ordinals(df, group, order).filter(F.col("ordinal").between(offset, offset + limit - 1))
     return page if reviewed is None else page.join(reviewed.select(key).distinct(), key, "left_anti")
 
 
@@ -81,10 +98,11 @@ def hold(df: DataFrame, holds: DataFrame, key: str) -> DataFrame:
 
 
 def epoch_order(df: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
-    """``df`` with ``position``: a reproducible shuffle for each epoch, numbered without gathering the rows in one task."""
-    h = F.xxhash64(F.col(key), F.lit(seed + epoch))
-    d = df.withColumn("_h", h).withColumn("_b", F.shiftright(h, 52))
+    """``df`` with ``position``: a reproducible shuffle for each epoch (by md5), numbered without gathering the rows in one task."""
+    d = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed + epoch}:"), F.col(key).cast("string"))))
+    d = d.withColumn("_b", F.substring("_h", 1, 4))
     n = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    # at most 65,536 bins stand in this window
     before = n.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
     r = d.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
     return r.join(before, "_b").withColumn("position", F.col("_before") + F.col("_r") - 1).drop("_h", "_b", "_before", "_r")

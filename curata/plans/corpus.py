@@ -303,7 +303,7 @@ def w03(spark, d):
     return sampling.quota_sample(docs(spark, d), "lang", "doc_id", budget=5)
 
 
-@query("w08_epoch_order")
+@query("w08_epoch_order", "SELECT doc_id, row_number() OVER (ORDER BY md5('9:' || doc_id), doc_id) - 1 AS position FROM documents")
 def w08(spark, d):
     return sampling.epoch_order(docs(spark, d).select("doc_id"), "doc_id", 7, 2)
 
@@ -426,37 +426,41 @@ def snk10(spark, d):
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-@query(
-    "r03_bm25_search",
-    f"WITH {POST_SQL}, q AS (SELECT DISTINCT task_id AS query_id, unnest(regexp_extract_all(lower(prompt), '[A-Za-z_][A-Za-z_0-9]*')) AS term FROM eval_tasks), g AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), "
-    "i AS (SELECT term, greatest(ln((n - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM post, g GROUP BY term, n), "
-    "s AS (SELECT query_id, post.id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM q JOIN post USING (term) JOIN i USING (term) JOIN dl ON dl.id = post.id, g GROUP BY 1, 2), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 3",
-)
+def _bm25_sql(queries: str, k: int) -> str:
+    """The ``k`` best documents of each query of ``queries``, a select of ``(query_id, query)``, as ``r(query_id, id, score, rank)``."""
+    return (
+        f"WITH {POST_SQL}, q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[A-Za-z_][A-Za-z_0-9]*')) AS term FROM ({queries})), g AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), "
+        "i AS (SELECT term, greatest(ln((n - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM post, g GROUP BY term, n), "
+        "s AS (SELECT query_id, post.id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM q JOIN post USING (term) JOIN i USING (term) JOIN dl ON dl.id = post.id, g GROUP BY 1, 2), "
+        f"r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= {k}) "
+    )
+
+
+FIRST_LINES = "SELECT doc_id AS query_id, string_split(text, chr(10))[1] AS query FROM documents WHERE doc_id % 100 = 0 AND length(string_split(text, chr(10))[1]) <= 2000"
+
+
+@query("r03_bm25_search", _bm25_sql("SELECT task_id AS query_id, prompt AS query FROM eval_tasks", 3) + "SELECT query_id, id, round(score, 6) AS score, rank FROM r")
 def r03(spark, d):
-    p, n = retrieval.postings(docs(spark, d), "doc_id")
     q = table(spark, d, "eval_tasks").select(F.col("task_id").alias("query_id"), F.col("prompt").alias("query"))
-    return retrieval.search(p, n, q, 3).withColumn("score", F.round("score", 6))
+    return retrieval.search_texts(docs(spark, d), q, 3, "doc_id").withColumn("score", F.round("score", 6))
 
 
 def _leaders(spark, d):
     return docs(spark, d).select(F.col("doc_id").alias("expected"), F.get(F.split("text", "\n"), F.lit(0)).alias("query"))
 
 
-@query("r05_regression")
+@query("r05_regression", _bm25_sql(FIRST_LINES, 3) + "SELECT doc_id AS query_id, doc_id IN (SELECT id FROM r WHERE r.query_id = doc_id) AS hit FROM documents WHERE doc_id % 100 = 0")
 def r05(spark, d):
     """Whether a document is among the first three for its own first line, over every hundredth document as a query."""
-    p, n = retrieval.postings(docs(spark, d), "doc_id")
     q = _leaders(spark, d).filter("expected % 100 = 0").withColumn("query_id", F.col("expected"))
-    return retrieval.regression(retrieval.search(p, n, q.select("query_id", "query"), 3), q.select("query_id", "expected"))
+    return retrieval.regression(retrieval.search_texts(docs(spark, d), q.select("query_id", "query"), 3, "doc_id"), q.select("query_id", "expected"))
 
 
-@query("n03_recall")
+@query("n03_recall", _bm25_sql(FIRST_LINES, 5) + "SELECT count(*) AS n_queries, avg((coalesce(rank, 99) <= 1)::INT) AS recall_at_1, avg((coalesce(rank, 99) <= 3)::INT) AS recall_at_3, avg((coalesce(rank, 99) <= 5)::INT) AS recall_at_5 FROM documents LEFT JOIN r ON r.query_id = doc_id AND r.id = doc_id WHERE doc_id % 100 = 0")
 def n03(spark, d):
     """Recall at one, three and five of the same queries."""
-    p, n = retrieval.postings(docs(spark, d), "doc_id")
     q = _leaders(spark, d).filter("expected % 100 = 0").withColumn("query_id", F.col("expected"))
-    return retrieval.recall(retrieval.search(p, n, q.select("query_id", "query"), 5), q.select("query_id", F.col("expected").alias("id")))
+    return retrieval.recall(retrieval.search_texts(docs(spark, d), q.select("query_id", "query"), 5, "doc_id"), q.select("query_id", F.col("expected").alias("id")))
 
 
 @query("k02_bpe_tokens")

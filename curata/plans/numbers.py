@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from curata.operators import kernels, stats, tools
 from curata.plans.registry import Registry
-from curata.runtime import table
+from curata.runtime import Stage, table
 
 QUERIES = query = Registry()
 
@@ -198,17 +198,22 @@ def x_windows(spark, d):
     return g.select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-@query("r07_cosine_top")
+BLOCK = 20_000  # queries of one block; with vectors of some hundred numbers, tens of megabytes
+
+
+@query("r07_cosine_top", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS k FROM s) SELECT query_id, vec_id, cosine FROM r WHERE k = 1")
 def r07(spark, d):
-    """Best partner of every hundredth vector by cosine among all (an extension); the query block is a fixed hundredth."""
+    """Best partner of every hundredth vector by cosine among all (an extension); queries go in blocks of about ``BLOCK``."""
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     e = e.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
     unit = e.select("vec_id", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
-    q = unit.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    n = q.count()
-    if n > 20_000:
-        raise ValueError("too many queries for one block")
-    block = q.agg(F.collect_list(F.struct("query_id", "q")).alias("block"))
-    scored = unit.join(F.broadcast(block)).select("vec_id", "v", F.explode("block").alias("b")).filter(F.col("b.query_id") != F.col("vec_id"))
-    s = F.aggregate(F.zip_with("v", "b.q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return scored.groupBy(F.col("b.query_id").alias("query_id")).agg(F.max_by(F.struct("vec_id", F.round(s, 6).alias("cosine")), F.struct(F.round(s, 6), -F.col("vec_id"))).alias("r")).select("query_id", "r.vec_id", "r.cosine")
+    q = Stage(unit.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "queries")
+    blocks = -(-q.rows // BLOCK) or 1
+    out = None
+    for k in range(blocks):
+        block = q.df.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).agg(F.collect_list(F.struct("query_id", "q")).alias("block"))
+        scored = unit.join(F.broadcast(block)).select("vec_id", "v", F.explode("block").alias("b")).filter(F.col("b.query_id") != F.col("vec_id"))
+        s = F.aggregate(F.zip_with("v", "b.q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        best = scored.groupBy(F.col("b.query_id").alias("query_id")).agg(F.max_by(F.struct("vec_id", F.round(s, 6).alias("cosine")), F.struct(F.round(s, 6), -F.col("vec_id"))).alias("r"))
+        out = best if out is None else out.union(best)
+    return out.select("query_id", "r.vec_id", "r.cosine")

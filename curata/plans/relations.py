@@ -225,7 +225,7 @@ def snk08(spark, d):
     return latest(ids(spark, d, "candidates", "lang", "review_status", "received_at"), ["id"], ["received_at"]).select("id", "lang", "review_status")
 
 
-@query("a23_seal")
+@query("a23_seal", "WITH d AS (SELECT sha256(to_json({'task_id': task_id, 'r': prompt})::VARCHAR) AS d FROM eval_tasks) SELECT count(*) AS n, sha256(" + " || ',' || ".join(f"sum(('0x' || substr(d, {8 * i + 1}, 8))::BIGINT)::VARCHAR" for i in range(8)) + ") AS digest FROM d")
 def a23(spark, d):
     return reports.seal(table(spark, d, "eval_tasks"), "task_id", F.col("prompt"))
 
@@ -264,10 +264,7 @@ def w01(spark, d):
 
 @query("w02_ordinals", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY created_at, doc_id) - 1 AS ordinal FROM documents")
 def w02(spark, d):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("lang").orderBy("created_at", "doc_id")
-    return table(spark, d, "documents").select("doc_id", (F.row_number().over(w) - 1).alias("ordinal"))
+    return sampling.ordinals(table(spark, d, "documents").select("doc_id", "lang", "created_at"), "lang", ["created_at", "doc_id"]).select("doc_id", "ordinal")
 
 
 @query("g03_family_ids", "SELECT id, 'family-' || substr(sha256(lower(trim(family))), 1, 24) AS family FROM families WHERE family IS NOT NULL")
