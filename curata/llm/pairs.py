@@ -168,7 +168,7 @@ It is important to note that this must not be more than the limit. As you can se
 Prüfen Sie zuerst das Ventil, weil die Dichtung vor dem Motor verschleißt. Das ist nicht die Ursache. Ich würde es so lassen, da sich der Wert kaum ändert. Dazu kann man die Anzeige nutzen. Es muss noch einmal gemessen werden.
 Compruebe primero la válvula, porque no se puede medir con el motor en marcha. El valor de este ensayo no es el que se esperaba. Con eso es posible seguir. Debo decir que me parece bien.
 Vérifiez d'abord la soupape, car il est impossible de mesurer ce débit. Ce n'est pas la pompe mais le moteur. Je ne vois pas de fuite dans la conduite. Il faut que vous notiez la valeur."""
-SAMPLE = 20_000  # answers on which the classifier is fitted, those with the smallest hashes
+SAMPLE = 20_000  # about so many turns are drawn, by their hash; the classifier is fitted on the answers among them
 ODDS = 2.0  # mean log odds of the words of a declining sentence
 
 
@@ -285,10 +285,11 @@ def answers(messages: DataFrame) -> DataFrame:
     m = messages.select(clean_id(F.col("id")).alias("id"), F.col("turn").cast("int").alias("turn"), _role(F.col("role")).alias("role"), "content", calls.alias("calls"))
     m = m.filter("id is not null and turn is not null and role in ('user', 'assistant')")
     turns = m.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "content", "calls"))).alias("t"))
-    # the classifier's sample: bounded, the same whatever the partitions
-    said = m.filter("role = 'assistant' and not calls and content is not null").select("content")
-    h = F.xxhash64("content")
-    sample = [plain(r.content)[0] for r in said.orderBy(h, "content").limit(SAMPLE).collect()]
+    # the classifier's sample: rows by their hash, about SAMPLE of them whatever the table, never more than twice that
+    said = m.filter("role = 'assistant' and not calls and content is not null")
+    share = min(1.0, SAMPLE / max(1, messages.count()))
+    picked = said.filter(F.pmod(F.xxhash64("id", "turn", "content"), F.lit(1 << 30)) < int(share * (1 << 30))).select("content").limit(2 * SAMPLE)
+    sample = [plain(r.content)[0] for r in picked.collect()]
     model = m.sparkSession.sparkContext.broadcast(decline_model(sample))
     return turns.mapInArrow(lambda batches: _judge(batches, model.value), "id string, turn int, defect string, form string, cut boolean, length int, open boolean")
 
