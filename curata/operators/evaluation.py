@@ -120,3 +120,18 @@ def grade_fields(expected: DataFrame, responses: DataFrame) -> DataFrame:
 
 def unit_is_known(unit: str) -> bool:
     return unit_of(unit)[3] is None
+
+
+def gate(base: DataFrame, new: DataFrame, drop: float = 5.0, latency: float = 1.25) -> DataFrame:
+    """``(domain, change, decision)`` of two arms ``(domain, points, critical, p95)``: HOLD for a drop, a new critical failure or a slower tail."""
+    j = base.select("domain", F.col("points").alias("p0"), F.col("critical").alias("c0"), F.col("p95").alias("l0")).join(new.select("domain", F.col("points").alias("p1"), F.col("critical").alias("c1"), F.col("p95").alias("l1")), "domain", "full_outer")
+    bad = (F.col("p0") - F.col("p1") >= drop) | (F.col("c1") > F.col("c0")) | (F.col("l1") > latency * F.col("l0"))
+    return j.select("domain", F.round(F.col("p1") - F.col("p0"), 6).alias("change"), F.when(F.coalesce(bad, F.lit(True)), "HOLD").otherwise("PASS").alias("decision"))
+
+
+def sealed_evaluation(tasks: DataFrame, answers: DataFrame) -> DataFrame:
+    """``(rule, n)`` before anything is graded: ids that only one side has, and ids that come several times."""
+    from curata.operators.guards import counts, one_to_one
+
+    twice = answers.groupBy("task_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return counts(union([one_to_one(tasks, answers, "task_id", ("NO_ANSWER", "UNKNOWN_TASK")), rule("REPEATED_ANSWER", twice, F.col("task_id"))]), ["NO_ANSWER", "UNKNOWN_TASK", "REPEATED_ANSWER"])

@@ -110,3 +110,22 @@ def tainted(edges: DataFrame, marked: DataFrame) -> DataFrame:
             return seen.df
         seen = Stage(seen.df.union(s.df), "taint")
         front = s.df
+
+
+def assembled(*parts: tuple[str, DataFrame]) -> DataFrame:
+    """``(a, b, kind)``: edges of several kinds ``(kind, edges(a, b))`` as one table, the input of :func:`components`.
+
+    Ends compare as strings; edges with a null or equal ends are left out,
+    repeated and reversed ones of a kind count once.
+    """
+    out = None
+    for kind, e in parts:
+        p = e.select(F.col("a").cast("string").alias("x"), F.col("b").cast("string").alias("y")).filter("x <> y")
+        p = p.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(kind).alias("kind"))
+        out = p if out is None else out.unionByName(p)
+    return out.distinct()
+
+
+def source_edges(rows: DataFrame, key: str, source: str) -> DataFrame:
+    """``(a, b)``: each row bound to its source, which is a vertex of its own."""
+    return rows.filter(F.col(source).isNotNull()).select(F.col(key).cast("string").alias("a"), F.concat(F.lit("source "), F.col(source)).alias("b"))

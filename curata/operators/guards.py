@@ -192,3 +192,28 @@ def fingerprint(manifest: dict) -> str:
     import json
 
     return hashlib.sha256(json.dumps(manifest, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False).encode()).hexdigest()
+
+
+def audited_together(splits: DataFrame) -> DataFrame:
+    """Splits ``(split, stage, manifest_fingerprint)`` that were not audited as one: no fingerprint, or several fingerprints or stages."""
+    n = splits.agg(F.count_distinct("manifest_fingerprint").alias("f"), F.count_distinct("stage").alias("s"))
+    return union(
+        [
+            rule("NO_FINGERPRINT", splits.filter("manifest_fingerprint is null"), F.col("split")),
+            rule("FINGERPRINTS_DIFFER", n.filter("f > 1"), F.col("f")),
+            rule("STAGES_DIFFER", n.filter("s > 1"), F.col("s")),
+        ]
+    )
+
+
+def preparation_violations(tables: dict[str, DataFrame], totals: DataFrame, key: str = "id") -> DataFrame:
+    """Keys that are not in every one of ``tables``, and totals ``(name, n)`` on record that the tables don't have."""
+    n = len(tables)
+    at = None
+    for name, t in tables.items():
+        k = t.select(F.col(key).cast("string").alias("k")).filter("k is not null").distinct().withColumn("t", F.lit(name))
+        at = k if at is None else at.union(k)
+    have = at.groupBy("k").agg(F.array_sort(F.collect_set("t")).alias("t")).filter(F.size("t") < n)
+    count = at.groupBy(F.col("t").alias("name")).agg(F.count(F.lit(1)).alias("have"))
+    off = totals.join(count, "name", "left").filter(~F.coalesce(F.col("n") == F.col("have"), F.lit(False)))
+    return union([rule("NOT_IN_ALL", have, F.col("k"), F.array_join("t", ",")), rule("TOTAL_DIFFERS", off, F.col("name"), F.col("have"))])

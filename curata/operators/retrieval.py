@@ -181,3 +181,31 @@ def recall(results: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3,
     j = relevant.distinct().join(results.select("query_id", "id", "rank"), ["query_id", "id"], "left")
     per = j.groupBy("query_id").agg(*[F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))).alias(f"r{k}") for k in ks])
     return per.agg(F.count(F.lit(1)).alias("n_queries"), *[F.avg(f"r{k}").alias(f"recall_at_{k}") for k in ks])
+
+
+def result_violations(results: DataFrame, chunks: DataFrame, pins: DataFrame, sealed_families: DataFrame) -> DataFrame:
+    """Retrieved chunks verified again: known, unchanged since they were pinned, outside sealed families.
+
+    ``results`` has ``id``, ``chunks`` is ``(id, family_id, text)``, ``pins`` is
+    ``(id, slice_sha256)``; each distinct id is looked at once.
+    """
+    r = results.select("id").filter("id is not null").distinct()
+    j = r.join(chunks.select("id", "family_id", F.sha2("text", 256).alias("_have"), F.lit(True).alias("_there")), "id", "left").join(pins.select("id", "slice_sha256"), "id", "left")
+    return union(
+        [
+            rule("UNKNOWN_CHUNK", j.filter("_there is null"), F.col("id")),
+            rule("NOT_PINNED", j.filter("_there is not null and slice_sha256 is null"), F.col("id")),
+            rule("SLICE_CHANGED", j.filter("_have <> slice_sha256"), F.col("id")),
+            rule("SEALED_FAMILY", j.join(sealed_families.select("family_id").distinct(), "family_id", "left_semi"), F.col("id"), F.col("family_id")),
+        ]
+    )
+
+
+def result_rates(results: DataFrame, queries: DataFrame, content: DataFrame) -> DataFrame:
+    """``(n_queries, empty_rate, duplicate_rate)``: queries without a hit, and hits whose text an earlier hit of the query has.
+
+    ``results`` is ``(query_id, id, rank)``, ``content`` is ``(id, digest)``.
+    """
+    per = results.join(content, "id").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("digest").alias("d"))
+    j = queries.select("query_id").distinct().join(per, "query_id", "left")
+    return j.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg(F.col("n").isNull().cast("double")), 6).alias("empty_rate"), F.round(F.coalesce(F.try_divide(F.sum(F.col("n") - F.col("d")).cast("double"), F.sum("n")), F.lit(0.0)), 6).alias("duplicate_rate"))

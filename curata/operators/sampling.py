@@ -106,3 +106,17 @@ def epoch_order(df: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
     before = n.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
     r = d.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
     return r.join(before, "_b").withColumn("position", F.col("_before") + F.col("_r") - 1).drop("_h", "_b", "_before", "_r")
+
+
+def rotation(tasks: DataFrame, domain: str, key: str, quotas: dict[str, int], family: str | None = None, per_family: int = 2, salt: str = "rotation") -> DataFrame:
+    """``(domain, key, mode)``: in each domain the modes in turn by their quotas, in the order of a salted digest, at most ``per_family`` tasks of a family."""
+    h = F.sha2(F.concat(F.lit(salt), F.col(key).cast("string")), 256)
+    t = tasks.select(domain, key, *([family] if family else []), h.alias("_h"))
+    if family:
+        t = t.withColumn("_k", F.row_number().over(Window.partitionBy(domain, family).orderBy("_h", key))).filter(F.col("_k") <= per_family)
+    t = t.withColumn("_r", F.row_number().over(Window.partitionBy(domain).orderBy("_h", key))).filter(F.col("_r") <= sum(quotas.values()))
+    mode, upto = F, 0
+    for name, n in quotas.items():
+        upto += n
+        mode = mode.when(F.col("_r") <= upto, name)
+    return t.select(domain, key, mode.otherwise(F.lit(None)).alias("mode"))

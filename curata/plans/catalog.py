@@ -5,9 +5,9 @@ Every query reads its whole tables. Names begin with the number of the operator.
 
 from __future__ import annotations
 
-from curata.plans import corpus, grading, numbers, relations
+from curata.plans import corpus, grading, library, numbers, relations
 
-MODULES = (corpus, relations, numbers, grading)
+MODULES = (corpus, relations, numbers, grading, library)
 
 
 def flagship(spark, d):

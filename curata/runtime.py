@@ -39,6 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of this name under :func:`shared_dir`, deleted with the staged tables."""
+    path = f"{shared_dir(spark)}/{name}"
+    _WRITTEN.add((spark.sparkContext.applicationId, path))
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -11,7 +11,6 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from curata.functions.udfs import json_error
@@ -106,43 +105,83 @@ def pinned_files(spark: SparkSession, path: str, pins: DataFrame) -> tuple[DataF
     return j.filter("have = sha256").select("name", "content"), bad.select(code.alias("rule"), F.col("name").alias("entity"), F.lit("").alias("detail"))
 
 
+def _fs(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path: any store that Spark writes to."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def prepared(spark: SparkSession, path: str, fingerprint: str | None = None) -> DataFrame:
-    """A prepared dataset, its metadata checked against the fingerprint."""
-    meta = json.loads(Path(path, "metadata.json").read_text())
+    """A prepared dataset, its schema and number of rows checked against its metadata, the metadata against the fingerprint."""
+    meta = json.loads(spark.read.text(f"{path}/metadata.json", wholetext=True).first().value)
     if fingerprint is not None and meta.get("fingerprint") != fingerprint:
         raise ValueError("the dataset has another fingerprint")
-    return spark.read.parquet(f"{path}/data")
+    df = spark.read.parquet(f"{path}/data")
+    if meta.get("columns") is not None and meta["columns"] != sorted(map(list, df.dtypes)):
+        raise ValueError("the dataset has other columns")
+    if df.count() != meta["rows"]:
+        raise ValueError("the dataset has another number of rows")
+    return df
 
 
 def publish(df: DataFrame, target: str, fingerprint: str = "", partitions: list[str] | None = None) -> None:
     """Writes a dataset beside its target and renames it; an existing target is refused.
 
-    The row count of the written files is compared with the metadata before the
-    rename, so a failed write is never visible under the final name.
+    The row count of the written files goes into the metadata before the rename,
+    so a failed write is never visible under the final name. All steps go
+    through the file system of the target; where a rename is no single step
+    there, readers go by the metadata file, which :func:`prepared` reads first.
     """
-    if os.path.exists(target):
+    spark = df.sparkSession
+    fs, to = _fs(spark, target)
+    if fs.exists(to):
         raise FileExistsError(target)
     tmp = f"{target}.{uuid.uuid4().hex}"
     w = df.write.mode("errorifexists")
     (w.partitionBy(*partitions) if partitions else w).parquet(f"{tmp}/data")
-    n = df.sparkSession.read.parquet(f"{tmp}/data").count()
-    Path(tmp, "metadata.json").write_text(json.dumps({"fingerprint": fingerprint, "rows": n}, sort_keys=True))
-    os.rename(tmp, target)
+    got = spark.read.parquet(f"{tmp}/data")
+    meta = json.dumps({"columns": sorted(map(list, got.dtypes)), "fingerprint": fingerprint, "rows": got.count()}, sort_keys=True)
+    out = fs.create(_fs(spark, f"{tmp}/metadata.json")[1])
+    out.write(bytearray(meta.encode()))
+    out.close()
+    if not fs.rename(_fs(spark, tmp)[1], to):
+        raise FileExistsError(target)
+
+
+class _Out:
+    """A Hadoop output stream as a Python file."""
+
+    def __init__(self, stream) -> None:
+        self.stream = stream
+
+    def write(self, data: bytes) -> int:
+        self.stream.write(bytearray(data))
+        return len(data)
+
+    def flush(self) -> None:
+        self.stream.flush()
 
 
-def gzip_lines(df: DataFrame, column: str, order: str, target: str, limit: int = 5_000_000) -> str:
+def gzip_lines(df: DataFrame, column: str, order: str, target: str, limit: int | None = None) -> str:
     """One gzip file with the lines in order and no time stamp, and its digest: the same bytes for the same rows.
 
-    For release files of a known, bounded number of lines; rows stream through
-    the driver one partition at a time.
+    Rows stream through the driver one partition of the sorted table at a time,
+    into whatever file system the target is on; an existing file is refused.
+    More lines than ``limit``, where one is set, are refused as well.
     """
+    fs, to = _fs(df.sparkSession, target)
+    out = fs.create(to, False)
     h = hashlib.sha256()
-    with open(target, "xb") as raw, gzip.GzipFile(filename="", fileobj=raw, mode="wb", mtime=0) as f:
-        for k, r in enumerate(df.select(order, column).orderBy(order).toLocalIterator()):
-            if k >= limit:
-                raise ValueError("more lines than a release file may have")
-            f.write((r[column] + "\n").encode())
-            h.update((r[column] + "\n").encode())
+    try:
+        with gzip.GzipFile(filename="", fileobj=_Out(out), mode="wb", mtime=0) as f:
+            for k, r in enumerate(df.select(order, column).orderBy(order).toLocalIterator()):
+                if limit is not None and k >= limit:
+                    raise ValueError("more lines than a release file may have")
+                line = (r[column] + "\n").encode()
+                f.write(line)
+                h.update(line)
+    finally:
+        out.close()
     return h.hexdigest()
 
 
@@ -165,4 +204,22 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return g.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
-LINES = StructType([StructField("path", StringType()), StructField("line_no", LongType()), StructField("line", StringType())])
+
+
+def lookup_records(index: DataFrame, wanted: DataFrame, key: str = "record_id") -> tuple[DataFrame, DataFrame]:
+    """The records with the wanted keys, and the keys that the index lacks; a join, not one seek for each record."""
+    w = wanted.select(key).distinct()
+    from curata.operators.guards import rule
+
+    return index.join(w, key, "left_semi"), rule("NO_RECORD", w.join(index.select(key), key, "left_anti"), F.col(key))
+
+
+def active_units(units: DataFrame, files: DataFrame, digits: int = 20) -> DataFrame:
+    """Active units ``(path, version, active)`` whose file ``(path, status, content_hash)`` is current and whose version is the beginning of its digest."""
+    f = files.filter("status = 'current'").select("path", F.substring("content_hash", 1, digits).alias("version"))
+    return units.filter("active").join(f, ["path", "version"], "left_semi")
+
+
+def append_metrics(df: DataFrame, target: str) -> None:
+    """Rows of metrics as JSON lines behind those that are there; nothing is overwritten."""
+    df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.mode("append").text(target)

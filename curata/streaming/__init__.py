@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,16 +14,18 @@ class ContractChanged(ValueError):
     """A scan was resumed with other inputs or parameters than it was begun with."""
 
 
-def pin_contract(folder: str, contract: dict) -> None:
-    """Stores the contract of a scan beside its checkpoint, or refuses one that differs."""
-    p = Path(folder, "contract.json")
+def pin_contract(spark: SparkSession, folder: str, contract: dict) -> None:
+    """Stores the contract of a scan beside its checkpoint, in whatever file system that is, or refuses one that differs."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/contract.json")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     text = json.dumps(contract, sort_keys=True)
-    if p.exists():
-        if p.read_text() != text:
-            raise ContractChanged(str(p))
+    if fs.exists(at):
+        if spark.read.text(str(at), wholetext=True).first().value != text:
+            raise ContractChanged(str(at))
         return
-    p.parent.mkdir(parents=True, exist_ok=True)
-    p.write_text(text)
+    out = fs.create(at)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 def scan(spark: SparkSession, source: str, schema, target: str, good: Callable[[DataFrame], DataFrame], folder: str, contract: dict, error=None, files: int = 100) -> StreamingQuery:
@@ -34,7 +35,7 @@ def scan(spark: SparkSession, source: str, schema, target: str, good: Callable[[
     their reason, the others through ``good`` to ``target/rows``. Each batch
     writes its own folder by its number and overwrites it when it is replayed.
     """
-    pin_contract(folder, contract)
+    pin_contract(spark, folder, contract)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
 
     def write(batch: DataFrame, number: int) -> None:
