@@ -32,6 +32,7 @@ LOOKING_PATTERNS = [
     ("GARBLED_SYMBOL_RUN", FIDELITY, "major", r"([^\p{L}\p{N}_\s])\1{5,}", False),
     ("OCR_NUMERIC_CONFUSION", TECHNICAL, "critical", r"(?<![A-Za-z])(?:[0-9]+[OlI][0-9]*|[OlI][0-9]+)(?![A-Za-z])", True),
 ]
+# Lines that hold mathematics, hints and headings, by pattern.
 MATH_LINE = r"[=≈≤≥∑∫√]|\\[(\[]|\$|\\(?:frac|sqrt|sum|int|prod)\b|\\(?:begin|end|alpha|beta|theta|sigma|pi|cdot|times)\b"
 TRUNCATED_HINT = r"(?i)\b(?:and|or|because|therefore|where|given|such that|equals)\s*$"
 HEADING_ONLY = r"(?i)^\s*(?:problem|question|exercise|solution|answer)\s*(?:\d+)?\s*[:.]?\s*$"
@@ -57,6 +58,7 @@ SENSITIVE = {
     "POSSIBLE_SSN": [r"\b\d{3}-\d{2}-\d{4}\b", r"(?i)\b(?:SSN|social\s+security(?:\s+(?:number|no\.?))?)\s*[:=#-]?\s*\d(?:[ -]?\d){8}\b"],
     "MEDICAL_RECORD_IDENTIFIER": [r"(?i)\b(?:MRN|medical\s+record\s*(?:number|no\.?|#)|patient\s+(?:id|identifier|number|no\.?))\s*[:=#-]?\s*[A-Z0-9][A-Z0-9-]{3,}\b"],
 }
+# Parts of combined findings, by pattern.
 EMAIL = r"\b[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PATIENT = r"(?im)^\s*(?:patient\s+name|patient|name)\s*:\s*[A-Z][A-Za-z'-]+(?:\s+[A-Z][A-Za-z'-]+)+"
 CLINICAL = r"(?im)^\s*(?:diagnosis|medications?|date\s+of\s+birth|DOB|treatment|chief\s+complaint)\s*:"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curata.functions.identity import canon, digest, family_id, shingles, template
 from curata.operators.graph import contracted, named, number
-from curata.runtime import Stage, lookup
+from curata.runtime import HOT, HotKeys, Stage, lookup
 
 MIN_SHINGLES, NEAR, CONTAINED = 10, 0.85, 0.95
 
@@ -101,15 +101,16 @@ def uniform_components(members: DataFrame, attributes: list[str]) -> DataFrame:
 
 def tainted(edges: DataFrame, marked: DataFrame) -> DataFrame:
     """``(id)`` of everything that descends from a marked id over edges ``(parent, child)``: frontier by frontier."""
+    e = Stage(edges.select("parent", "child"), "taint")
+    hubs = HotKeys(e.df, "parent", HOT, e.rows)
     seen = Stage(marked.select("id").distinct(), "taint")
-    front = seen.df
-    while True:
-        new = edges.join(front.select(F.col("id").alias("parent")), "parent", "left_semi").select(F.col("child").alias("id")).distinct().join(seen.df, "id", "left_anti")
-        s = Stage(new, "taint")
-        if not s.df.head(1):
-            return seen.df
-        seen = Stage(seen.df.union(s.df), "taint")
-        front = s.df
+    front = seen
+    while front.rows:
+        step = lookup(e.df, front.df.select(F.col("id").alias("parent")), "parent", "inner", keys=hubs).select(F.col("child").alias("id")).distinct()
+        front = Stage(step.join(seen.df, "id", "left_anti"), "taint")
+        if front.rows:
+            seen = Stage(seen.df.union(front.df), "taint")
+    return seen.df
 
 
 def assembled(*parts: tuple[str, DataFrame]) -> DataFrame:

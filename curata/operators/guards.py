@@ -104,17 +104,18 @@ def two_phase(metadata: DataFrame, content):
     return content()
 
 
-def duplicate_cycles(links: DataFrame, limit: int = 64) -> DataFrame:
-    """Ids whose chain of ``(id, duplicate_of)`` comes back to themselves: pointers double, keyed joins only."""
+def duplicate_cycles(links: DataFrame) -> DataFrame:
+    """Ids whose chain of ``(id, duplicate_of)`` comes back to themselves: pointers double, keyed joins only, until no chain gets shorter."""
     from curata.runtime import Stage
 
     cur = Stage(links.filter("duplicate_of is not null").select("id", F.col("duplicate_of").alias("to")).distinct(), "chain")
-    for _ in range(limit):
+    while cur.rows:
         nxt = cur.df.select(F.col("id").alias("to"), F.col("to").alias("next"))
         step = Stage(cur.df.join(nxt, "to").select("id", F.col("next").alias("to")), "chain")
-        before, after = cur.df.count(), step.df.count()
-        cur = step
-        if not after or before == after:
+        before, cur = cur, step
+        done = before.rows == cur.rows
+        before.drop()
+        if done:
             break
     return cur.df.select("id").distinct()
 

@@ -61,6 +61,7 @@ UNITS = {
     "nF": (1e-9, (-1, -2, 4, 2, 0, 0, 0)),
     "C": (1.0, (0, 0, 1, 1, 0, 0, 0)),
 }
+# Offset scales, units of angle and of intervals.
 OFFSETS = {"degC": 273.15}
 ANGULAR, INTERVALS = ["rad/s", "rpm", "deg/s"], ["delta_K", "delta_degC"]
 UNIT = StructType([StructField("scale", DoubleType()), StructField("shift", DoubleType()), StructField("dims", ArrayType(IntegerType())), StructField("error", StringType())])

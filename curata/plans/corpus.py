@@ -193,11 +193,18 @@ def q16(spark, d):
     return reports.code_counts(t.select(F.transform("checks", lambda x: x["code"]).alias("codes")), "codes")
 
 
-@query("t04_evidence", f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), h AS (SELECT doc_id, i FROM l WHERE regexp_matches(x, {quote(Q.LINE_PATTERNS[0][3])}) AND regexp_matches(x, {quote(Q.MATH_LINE)})) SELECT doc_id, count(*) AS count, array_to_string(list(i ORDER BY i)[1:30], ',') AS line_numbers FROM h GROUP BY 1")
+def _evidence_sql() -> str:
+    one = lambda code, p, m: f"SELECT doc_id, '{code}' AS code, i FROM l WHERE regexp_matches(x, {quote(p)})" + (f" AND regexp_matches(x, {quote(Q.MATH_LINE)})" if m else "")
+    parts = [one(c, p, m) for c, _, _, p, m in Q.LINE_PATTERNS] + [one(c, p, False) for c, _, _, p in Q.PATTERNS if c != "AMBIGUOUS_HYPHENATION"]
+    return "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), h AS (" + " UNION ALL ".join(parts) + ") SELECT doc_id, code, count(*) AS count, array_to_string(list(i ORDER BY i)[1:30], ',') AS line_numbers FROM h GROUP BY 1, 2"
+
+
+@query("t04_evidence", _evidence_sql())
 def t04(spark, d):
-    """Line numbers of formulas that end with an operator."""
-    e = Q.evidence(docs(spark, d), "doc_id").filter("code = 'INCOMPLETE_MATH'")
-    return e.select("doc_id", "count", F.array_join(F.transform("line_numbers", lambda i: i.cast("string")), ",").alias("line_numbers"))
+    """Line numbers of the findings of all detectors that SQL can state; the rest needs look-around."""
+    looking = [c for c, *_ in Q.LOOKING_PATTERNS]
+    e = Q.evidence(docs(spark, d), "doc_id").filter(~F.col("code").isin(looking))
+    return e.select("doc_id", "code", "count", F.array_join(F.transform("line_numbers", lambda i: i.cast("string")), ",").alias("line_numbers"))
 
 
 @query("q28_statuses")
@@ -272,9 +279,16 @@ def prj10(spark, d):
     return messages.training_texts(convs(spark, d).join(split, "id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_texts"))
 
 
-@query("prj01_path_classes", "SELECT CASE WHEN regexp_matches(path, '(?i)password|passwd|credential|secret|private.?key|api.?key|access.?token') THEN 'excluded_path' WHEN regexp_matches(path, '^logs.*\\.jsonl$') THEN 'training_log_or_evaluation_artifact' WHEN regexp_matches(path, '\\.jsonl$') THEN 'candidate_dataset' ELSE 'unsupported_or_generated_artifact' END AS class, count(*) AS n FROM candidates GROUP BY 1")
+# Paths made by rule, and their classes.
+PATH_CASES = [("../up/a.jsonl", "excluded_path"), ("notes/api_key.txt", "excluded_path"), ("lib/__pycache__/x.pyc", "local_configuration_or_binary"), ("logs_01.jsonl", "training_log_or_evaluation_artifact"), ("set/part.jsonl", "candidate_dataset"), ("tokenizer_corpus/part", "tokenizer_corpus_not_sft"), ("README.md", "documentation_config_or_code"), ("model.bin", "unsupported_or_generated_artifact")]
+
+
+@query("prj01_path_classes", f"SELECT class, count(*) AS n FROM (SELECT CASE doc_id % {len(PATH_CASES)} " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(PATH_CASES)) + " END AS class FROM documents UNION ALL SELECT CASE WHEN regexp_matches(path, '(?i)password|passwd|credential|secret|private.?key|api.?key|access.?token') THEN 'excluded_path' WHEN regexp_matches(path, '^logs.*\\.jsonl$') THEN 'training_log_or_evaluation_artifact' WHEN regexp_matches(path, '\\.jsonl$') THEN 'candidate_dataset' ELSE 'unsupported_or_generated_artifact' END FROM candidates) GROUP BY 1")
 def prj01(spark, d):
-    return table(spark, d, "candidates").groupBy(sampling.path_class(F.col("path")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    """Classes of the candidates' paths, and of one made path of each class for every eighth document."""
+    made = F.element_at(F.array(*[F.lit(x) for x, _ in PATH_CASES]), (F.col("doc_id") % len(PATH_CASES) + 1).cast("int"))
+    p = table(spark, d, "candidates").select("path").union(docs(spark, d).select(made))
+    return p.groupBy(sampling.path_class(F.col("path")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("prj12_tag_counts", " UNION ALL ".join(f"SELECT '{c}' AS tag, count(*) AS n FROM documents WHERE regexp_matches(text, {quote(p)})" for c, p in sampling.TAGS.items()).join(["SELECT * FROM (", ") WHERE n > 0"]))
@@ -347,9 +361,9 @@ def k11(spark, d):
     return packing.record_index(docs(spark, d).select("doc_id", w.alias("n")), "doc_id", "n").select("doc_id", F.col("start").cast("long").alias("start"))
 
 
-@query("k13_preflight", "SELECT 'OVERFLOW' AS rule, count(*) AS n FROM documents WHERE strlen(text) > 2000 UNION ALL SELECT 'BAD_DIGEST', count(*) FROM documents WHERE false UNION ALL SELECT 'DUPLICATE_ID', count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'SEALED_FAMILY', count(*) FROM documents WHERE document_family = (SELECT min(document_family) FROM documents)")
+@query("k13_preflight", "SELECT 'OVERFLOW' AS rule, count(*) AS n FROM documents WHERE strlen(text) > 2000 UNION ALL SELECT 'BAD_DIGEST', count(*) FROM documents WHERE doc_id % 9 = 0 UNION ALL SELECT 'DUPLICATE_ID', count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'SEALED_FAMILY', count(*) FROM documents WHERE document_family = (SELECT min(document_family) FROM documents)")
 def k13(spark, d):
-    x = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("document_family").alias("family"), F.octet_length("text").alias("n_tokens"), F.sha2("text", 256).alias("sha256"))
+    x = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("document_family").alias("family"), F.octet_length("text").alias("n_tokens"), F.when(F.col("doc_id") % 9 == 0, F.lit("none")).otherwise(F.sha2("text", 256)).alias("sha256"))
     sealed = x.agg(F.min("family").alias("family"))
     return guards.counts(packing.preflight(x, 2000, sealed), ["OVERFLOW", "BAD_DIGEST", "DUPLICATE_ID", "SEALED_FAMILY"])
 
@@ -392,7 +406,18 @@ def j04(spark, d):
     return o.groupBy(F.col("anchor").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_links"), F.min("other").alias("first_other"))
 
 
-@query("j05_contained_prompts")
+J05_SQL = (
+    f"WITH t AS (SELECT 'a' AS side, task_id AS id, {TOKENS_SQL.replace('text', 'prompt')} AS t FROM eval_tasks UNION ALL SELECT 'b', doc_id::VARCHAR, {TOKENS_SQL} FROM documents), c AS (SELECT side, id, array_to_string(t, ' ') AS c FROM t), "
+    "s AS (SELECT DISTINCT side, id, hash(array_to_string(t[i:i+4], chr(31))) AS s FROM t, range(1, greatest(len(t) - 3, 1)) r(i)), n AS (SELECT side, id, count(*) AS n FROM s GROUP BY 1, 2 HAVING count(*) >= 10), "
+    "p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.side = 'a' AND b.side = 'b' GROUP BY 1, 2), "
+    "e AS (SELECT a.id AS a, b.id AS b, 0 AS r, 'EXACT_PROMPT' AS kind FROM c a JOIN c b ON a.c = b.c AND a.side = 'a' AND b.side = 'b'), "
+    "o AS (SELECT p.a, p.b, p.c, x.n AS na, y.n AS nb, ca.c AS ca, cb.c AS cb FROM p JOIN n x ON x.side = 'a' AND x.id = p.a JOIN n y ON y.side = 'b' AND y.id = p.b JOIN c ca ON ca.side = 'a' AND ca.id = p.a JOIN c cb ON cb.side = 'b' AND cb.id = p.b), "
+    "f AS (SELECT * FROM e UNION ALL SELECT a, b, 2, 'LEXICAL_NEAR_COPY_CONSERVATIVE_BIND' FROM o WHERE c * 1.0 / (na + nb - c) >= 0.85 UNION ALL SELECT a, b, 3, 'PROMPT_CONTAINED_IN_SOURCE' FROM o WHERE c * 1.0 / (na + nb - c) < 0.85 AND c >= 0.95 * na AND contains(cb, ca)), "
+    "k AS (SELECT a, b, min_by(kind, r) AS kind FROM f GROUP BY 1, 2) SELECT kind, count(*) AS n, count(DISTINCT a) AS n_anchors FROM k GROUP BY 1"
+)
+
+
+@query("j05_contained_prompts", J05_SQL)
 def j05(spark, d):
     """Labels of held-out prompts against documents by kind."""
     a = Stage(families.features(table(spark, d, "eval_tasks"), "task_id", "prompt"), "features").df
@@ -400,11 +425,14 @@ def j05(spark, d):
     return families.matches(a, o).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("anchor").alias("n_anchors"))
 
 
-@query("j13_prompt_contamination", r"WITH e AS (SELECT task_id, lower(trim(regexp_replace(prompt, '\s+', ' ', 'g'))) AS p FROM eval_tasks), x AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS p FROM documents) SELECT 'SHARED_P' AS rule, x.doc_id::VARCHAR AS entity, x.p AS detail FROM x SEMI JOIN e USING (p)")
+@query("j13_prompt_contamination", r"WITH x AS (SELECT doc_id, document_family AS f, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS p FROM documents), h AS (SELECT * FROM x WHERE doc_id % 10 = 0), t AS (SELECT * FROM x WHERE doc_id % 10 <> 0) SELECT rule, entity FROM (SELECT 'SHARED_P' AS rule, doc_id::VARCHAR AS entity FROM t WHERE p IN (SELECT p FROM h) UNION ALL SELECT 'SHARED_F', doc_id::VARCHAR FROM t WHERE f IN (SELECT f FROM h) UNION ALL SELECT 'SHARED_P', task_id FROM eval_tasks WHERE lower(trim(regexp_replace(prompt, '\s+', ' ', 'g'))) IN (SELECT p FROM h))")
 def j13(spark, d):
+    """Every tenth document as held out: others with its family or its text, and prompts that are its text."""
     norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    train = docs(spark, d).select(F.col("doc_id").alias("id"), norm(F.col("text")).alias("p"))
-    return guards.contamination(train, table(spark, d, "eval_tasks").select(norm(F.col("prompt")).alias("p")), ["p"])
+    x = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("document_family").alias("f"), norm(F.col("text")).alias("p"))
+    held = x.filter("id % 10 = 0")
+    tasks = table(spark, d, "eval_tasks").select(F.col("task_id").alias("id"), norm(F.col("prompt")).alias("p"))
+    return guards.union([guards.contamination(x.filter("id % 10 <> 0"), held, ["p", "f"]), guards.contamination(tasks, held, ["p"])]).select("rule", "entity")
 
 
 # ---- retrieval --------------------------------------------------------------------------------------------------

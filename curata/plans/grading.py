@@ -70,11 +70,11 @@ def n01(spark, d):
     return evaluation.macro_micro(scored(spark, d))
 
 
-@query("n02_paired", SCORE_SQL + "SELECT count(*) FILTER (WHERE reason LIKE 'correct%' AND expected_action <> 'answer') AS wins, 0 AS losses, count(*) FILTER (WHERE NOT (reason LIKE 'correct%' AND expected_action <> 'answer')) AS ties FROM s")
+@query("n02_paired", SCORE_SQL + ", y AS (SELECT reason LIKE 'correct%' AS x, ('0x' || substr(sha256(task_id), 5, 2))::INT % 3 <> 0 AS y FROM s) SELECT count(*) FILTER (WHERE x AND NOT y) AS wins, count(*) FILTER (WHERE y AND NOT x) AS losses, count(*) FILTER (WHERE x = y) AS ties FROM y")
 def n02(spark, d):
-    """The arm against itself with its refusals taken as wrong."""
+    """The arm against one that is right by a digest of the task."""
     s = scored(spark, d)
-    return evaluation.paired(s, s.withColumn("correct", F.col("correct") & (F.col("expected_action") == "answer")))
+    return evaluation.paired(s, s.withColumn("correct", F.conv(F.substring(F.sha2("task_id", 256), 5, 2), 16, 10).cast("int") % 3 != 0))
 
 
 @query("prj16_task_violations", "SELECT 'NO_REFERENCE' AS rule, count(*) AS n FROM eval_tasks WHERE expected_action = 'answer' AND (reference_value IS NULL OR isnan(reference_value)) UNION ALL SELECT 'DUPLICATE_TASK', count(*) FROM (SELECT task_id FROM eval_tasks GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'UNKNOWN_ACTION', count(*) FROM eval_tasks WHERE expected_action NOT IN ('answer', 'abstain', 'out_of_domain') OR expected_action IS NULL")
@@ -83,10 +83,17 @@ def prj16(spark, d):
     return guards.counts(evaluation.task_violations(tasks(spark, d)).filter(F.col("rule").isin(rules)), rules)
 
 
-@query("prj17_answer_errors", "SELECT 'OK' AS error, count(*) AS n FROM eval_tasks")
+@query("prj17_answer_errors", f"SELECT CASE {KIND} WHEN 0 THEN 'OK' WHEN 1 THEN 'ANSWER_KEYS' WHEN 2 THEN 'UNKNOWN_STATUS' WHEN 3 THEN 'BLANK_RESPONSE' ELSE 'NOT_OBJECT' END AS error, count(*) AS n FROM eval_tasks GROUP BY 1")
 def prj17(spark, d):
-    """Answers in JSON with exactly the keys of their status."""
-    js = F.to_json(F.struct("task_id", F.lit("answered").alias("status"), F.lit("text").alias("response"), F.coalesce("reference_value", F.lit(0.0)).alias("value"), F.lit("m").alias("unit"), F.col("required_assumptions").alias("assumptions")))
+    """Answers in JSON, by rule right, without a key, of an unknown status, with a blank response, or no object."""
+    k = F.conv(F.substring(F.sha2("task_id", 256), 1, 4), 16, 10).cast("int") % 5
+    one = lambda *fields: F.to_json(F.struct("task_id", *fields))
+    text, status, value = F.lit("text").alias("response"), F.lit("answered").alias("status"), F.coalesce("reference_value", F.lit(0.0)).alias("value")
+    rest = [F.lit("m").alias("unit"), F.col("required_assumptions").alias("assumptions")]
+    js = (
+        F.when(k == 0, one(status, text, value, *rest)).when(k == 1, one(status, text, value, rest[1])).when(k == 2, one(F.lit("maybe").alias("status"), text, value, *rest))
+        .when(k == 3, one(status, F.lit(" ").alias("response"), value, *rest)).otherwise(F.lit("[1, 2]"))
+    )
     return tasks(spark, d).groupBy(F.coalesce(evaluation.answer_error(js), F.lit("OK")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -110,10 +117,10 @@ def v07(spark, d):
     return evaluation.grade_fields(e, r).select("id", "pass")
 
 
-@query("prj08_source_violations", "SELECT * FROM (VALUES ('UNKNOWN_DOMAIN', 17::BIGINT), ('RIGHTS_NOT_APPROVED', 2), ('BAD_DIGEST', 0)) t(rule, n)")
+@query("prj08_source_violations", "SELECT rule, n FROM (SELECT 'UNKNOWN_SPLIT' AS rule, count(*) FILTER (WHERE doc_id % 3 = 0) AS n FROM documents UNION ALL SELECT 'UNKNOWN_DOMAIN', count(*) FILTER (WHERE domain IS NULL OR domain NOT IN (" + ", ".join(f"'{x}'" for x in guards.DOMAINS) + ")) FROM documents UNION ALL SELECT 'RIGHTS_NOT_APPROVED', count(*) FILTER (WHERE doc_id % 4 = 0) FROM documents UNION ALL SELECT 'BAD_DIGEST', count(*) FILTER (WHERE doc_id % 5 = 0) FROM documents UNION ALL SELECT 'BLANK_HOLDER', count(*) FILTER (WHERE document_family IS NULL) FROM documents UNION ALL SELECT 'UNKNOWN_KIND', 0)")
 def prj08(spark, d):
-    """Manifest rows made from the mix targets: their domains are not of the list, two rights are open."""
-    m = table(spark, d, "mix_targets")
-    rights = F.struct((F.col("max_repeats") < 4).alias("approved"), F.lit("owned").alias("basis"), F.lit("holder").alias("holder"))
-    s = m.select(F.col("source").alias("source_id"), F.lit("train").alias("split"), F.lit("sft").alias("kind"), F.lit("none").alias("domain"), F.lit("made").alias("provenance"), F.lit("own").alias("license"), rights.alias("rights"), F.sha2("source", 256).alias("sha256"))
-    return guards.counts(guards.source_violations(s), ["UNKNOWN_DOMAIN", "RIGHTS_NOT_APPROVED", "BAD_DIGEST"])
+    """Documents as rows of a manifest, each rule broken by some."""
+    i = F.col("doc_id")
+    rights = F.struct((i % 4 != 0).alias("approved"), F.lit("owned").alias("basis"), F.col("document_family").alias("holder"))
+    s = table(spark, d, "documents").select(i.cast("string").alias("source_id"), F.when(i % 3 == 0, "holdout").otherwise("train").alias("split"), F.lit("sft").alias("kind"), "domain", F.lit("made").alias("provenance"), F.lit("own").alias("license"), rights.alias("rights"), F.when(i % 5 == 0, F.upper(F.sha2("text", 256))).otherwise(F.sha2("text", 256)).alias("sha256"))
+    return guards.counts(guards.source_violations(s), ["UNKNOWN_SPLIT", "UNKNOWN_DOMAIN", "RIGHTS_NOT_APPROVED", "BAD_DIGEST", "BLANK_HOLDER", "UNKNOWN_KIND"])

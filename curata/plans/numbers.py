@@ -92,6 +92,14 @@ def e12(spark, d):
     return r.select("l_returnflag", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("r_squared", 6).alias("r_squared"), "n")
 
 
+@query("e12_two_predictors", "WITH c AS (SELECT covar_samp(l_quantity, l_quantity) AS aa, covar_samp(l_discount, l_discount) AS bb, covar_samp(l_quantity, l_discount) AS ab, covar_samp(l_quantity, l_extendedprice) AS ay, covar_samp(l_discount, l_extendedprice) AS by_, var_samp(l_extendedprice) AS yy, avg(l_quantity) AS ma, avg(l_discount) AS mb, avg(l_extendedprice) AS my FROM lineitem), k AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS b1, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS b2 FROM c) SELECT round(my - b1 * ma - b2 * mb, 2) AS intercept, round(b1, 3) AS quantity, round(b2, 2) AS discount, round((b1 * ay + b2 * by_) / yy, 6) AS r_squared FROM k")
+def e12_two(spark, d):
+    """The general fit with two predictors; its result is one row of numbers from the driver."""
+    r = stats.regression(lines(spark, d), "l_extendedprice", ["l_quantity", "l_discount"])
+    row = (round(r["intercept"], 2), round(r["coefficients"][0], 3), round(r["coefficients"][1], 2), round(r["r_squared"], 6))
+    return spark.createDataFrame([row], "intercept double, quantity double, discount double, r_squared double")
+
+
 @query("e13_factorial", "SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS run, a, b, c FROM (VALUES (-1), (1)) x(a), (VALUES (-1), (1)) y(b), (VALUES (-1), (1)) z(c)")
 def e13(spark, d):
     return stats.factorial_design(spark, ["a", "b", "c"])
