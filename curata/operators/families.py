@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.functions.identity import canon, digest, family_id, shingles, template
+from curata.functions.identity import canon, digest, family_id, shingle_hashes, template
 from curata.operators.graph import contracted, named, number
 from curata.runtime import HOT, HotKeys, Stage, lookup
 
@@ -15,10 +15,23 @@ MIN_SHINGLES, NEAR, CONTAINED = 10, 0.85, 0.95
 def features(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(id, canon, exact, template, sh, n)``: comparison features of each text."""
     t = F.coalesce(F.col(text), F.lit(""))
-    d = df.select(F.col(key).alias("id"), canon(t).alias("canon"), template(t).alias("_t"), shingles(t).alias("sh"))
+    d = df.select(F.col(key).alias("id"), canon(t).alias("canon"), template(t).alias("_t"), shingle_hashes(t).alias("sh"))
     return d.select("id", "canon", digest(F.col("canon")).alias("exact"), digest(F.col("_t")).alias("template"), "sh", F.size("sh").alias("n"))
 
 
+def classes(feats: DataFrame) -> tuple[Stage, Stage]:
+    """One row for each distinct canonical text, named by its smallest id, and ``(id, cls)`` of all rows.
+
+    Links between classes say all about links between rows, however often a text
+    stands in the table.
+    """
+    low = feats.groupBy("exact").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    # the smallest id of a class brings its features; the rest bring their id alone
+    reps = Stage(feats.join(low, ["id", "exact"]).dropDuplicates(["id"]), "classes")
+    m = Stage(feats.select("id", "exact"), "rows")
+    return reps, Stage(lookup(m.df, reps.df.select("exact", F.col("id").alias("cls")), "exact", "inner", rows=m.rows).select("id", "cls"), "members")
+
+
 def exact_matches(anchors: DataFrame, others: DataFrame) -> DataFrame:
     """``(anchor, other)`` of equal canonical texts, inputs from :func:`features`."""
     a = anchors.select(F.col("id").alias("anchor"), "exact")
@@ -39,12 +52,15 @@ def overlaps(anchors: DataFrame, others: DataFrame, least: float) -> DataFrame:
     its rarest n - ceil(least n) + 1 (a pair that shares that much must share
     one); candidates found by those are counted over all shingles.
     """
-    a = anchors.filter(F.col("n") >= MIN_SHINGLES).select(F.col("id").alias("anchor"), "n", F.explode("sh").alias("s"))
-    b = others.filter(F.col("n") >= MIN_SHINGLES).select(F.col("id").alias("other"), F.col("n").alias("nb"), F.explode("sh").alias("s"))
-    freq = b.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    ranked = lookup(a, freq, "s", "left").groupBy("anchor", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "s"))).alias("r"))
-    pre = ranked.select("anchor", F.explode(F.slice("r", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("x")).select("anchor", "x.s")
-    cand = pre.join(b.select("other", "s"), "s").filter("anchor <> other").select("anchor", "other").distinct()
+    def taken_apart(d):
+        return Stage(d.filter(F.col("n") >= MIN_SHINGLES).select("id", "n", F.explode("sh").alias("s")), "shingles")
+
+    a = taken_apart(anchors)
+    b = a if others is anchors else taken_apart(others)
+    freq = b.df.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    ranked = lookup(a.df, freq, "s", "left", rows=a.rows).groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "s"))).alias("r"))
+    pre = ranked.select(F.col("id").alias("anchor"), F.explode(F.slice("r", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("x")).select("anchor", "x.s")
+    cand = pre.join(b.df.select(F.col("id").alias("other"), "s"), "s").filter("anchor <> other").select("anchor", "other").distinct()
     both = cand.join(anchors.select(F.col("id").alias("anchor"), F.col("sh").alias("sa"), F.col("n").alias("na")), "anchor").join(others.select(F.col("id").alias("other"), F.col("sh").alias("sb"), F.col("n").alias("nb")), "other")
     return both.select("anchor", "other", F.size(F.array_intersect("sa", "sb")).alias("common"), "na", "nb")
 

@@ -10,7 +10,7 @@ from curata.functions import identity as I  # noqa: E741
 from curata.functions import quality as Q
 from curata.operators import dedup, families, guards, messages, packing, reports, retrieval, sampling
 from curata.plans.registry import Registry
-from curata.runtime import Stage, table
+from curata.runtime import Stage, lookup, table
 
 QUERIES = query = Registry()
 
@@ -400,10 +400,18 @@ SHINGLES_SQL = (
 
 @query("j04_near_copies", f"WITH {SHINGLES_SQL} SELECT a AS doc_id, count(*) AS n_links, min(b) AS first_other FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c * 1.0 / (x.n + y.n - c) >= 0.85 GROUP BY 1")
 def j04(spark, d):
-    """Documents with near copies (Jaccard of 0.85 and more): one row each with the number of its links."""
-    f = _features(spark, d)
-    o = families.overlaps(f, f, families.NEAR).filter(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= families.NEAR)
-    return o.groupBy(F.col("anchor").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_links"), F.min("other").alias("first_other"))
+    """Documents with near copies (Jaccard of 0.85 and more): one row each with the number of its links, from classes of equal texts."""
+    reps, members = families.classes(_features(spark, d))
+    o = families.overlaps(reps.df, reps.df, families.NEAR).filter(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= families.NEAR)
+    size = reps.df.select(F.col("id").alias("other"), "copies")
+    far = o.join(size, "other").groupBy(F.col("anchor").alias("cls")).agg(F.sum("copies").alias("links"), F.min("other").alias("first"))
+    # inside a class: the other copies; the smallest of them is the class's name, or the next id for the name itself
+    own = reps.df.filter(F.col("n") >= families.MIN_SHINGLES).select(F.col("id").alias("cls"), "copies")
+    second = members.df.filter("id <> cls").groupBy("cls").agg(F.min("id").alias("second"))
+    c = own.join(far, "cls", "left").join(second, "cls", "left").filter("links is not null or copies > 1")
+    x = lookup(members.df.select("id", "cls"), c, "cls", "inner", rows=members.rows)
+    near = F.when(F.col("id") == F.col("cls"), F.col("second")).otherwise(F.col("cls"))
+    return x.select(F.col("id").alias("doc_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.least("first", near).alias("first_other"))
 
 
 J05_SQL = (
