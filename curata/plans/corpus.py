@@ -218,11 +218,15 @@ def q29(spark, d):
     return docs(spark, d).select("doc_id", *Q.metrics(F.col("text")))
 
 
+def _sensitive_tests() -> dict[str, str]:
+    any_ = {c: "(" + " OR ".join(f"regexp_matches(text, {quote(p)})" for p in ps) + ")" for c, ps in Q.SENSITIVE.items()}
+    any_["EMAIL_AND_PASSWORD"] = f"({any_['LOGIN_CREDENTIALS']} AND regexp_matches(text, {quote(Q.EMAIL)}))"
+    any_["PERSONAL_MEDICAL_RECORD"] = f"(regexp_matches(text, {quote(Q.PATIENT)}) AND regexp_matches(text, {quote(Q.CLINICAL)}))"
+    return any_
+
+
 def _sensitive_sql() -> str:
-    any_ = {c: " OR ".join(f"regexp_matches(text, {quote(p)})" for p in ps) for c, ps in Q.SENSITIVE.items()}
-    any_["EMAIL_AND_PASSWORD"] = f"({any_['LOGIN_CREDENTIALS']}) AND regexp_matches(text, {quote(Q.EMAIL)})"
-    any_["PERSONAL_MEDICAL_RECORD"] = f"regexp_matches(text, {quote(Q.PATIENT)}) AND regexp_matches(text, {quote(Q.CLINICAL)})"
-    return " UNION ALL ".join(f"SELECT '{c}' AS code, count(*) FILTER (WHERE {e}) AS n FROM documents" for c, e in any_.items())
+    return " UNION ALL ".join(f"SELECT '{c}' AS code, count(*) FILTER (WHERE {e}) AS n FROM documents" for c, e in _sensitive_tests().items())
 
 
 @query("p_sensitive_counts", _sensitive_sql())
@@ -233,10 +237,12 @@ def p_sensitive(spark, d):
     return s.select(F.explode(one).alias("x")).groupBy("x.code").agg(F.sum("x.n").alias("n"))
 
 
-@query("p_excluded_sources", "WITH h AS (SELECT lower(trim(source)) AS source, bool_or(regexp_matches(text, " + quote(Q.EMAIL) + ")) AS bad FROM documents GROUP BY 1) SELECT source FROM h WHERE NOT bad")
+@query("p_excluded_sources", "SELECT lower(trim(source)) AS source, bool_or(" + " OR ".join(_sensitive_tests().values()) + f" OR regexp_matches(text, {quote(Q.EMAIL)})) AS excluded FROM documents GROUP BY 1")
 def p_excluded(spark, d):
-    """Sources none of whose texts has an e-mail address: one hit excludes the whole source."""
-    return docs(spark, d).groupBy(F.lower(F.trim("source")).alias("source")).agg(F.bool_or(F.col("text").rlike(Q.EMAIL)).alias("bad")).filter("not bad").select("source")
+    """Sources by whether any of their texts has sensitive content of some code, or an e-mail address: one hit excludes the whole source."""
+    t = F.coalesce("text", F.lit(""))
+    bad = (F.size(Q.sensitive_codes(t)) > 0) | t.rlike(Q.EMAIL)
+    return docs(spark, d).groupBy(F.lower(F.trim("source")).alias("source")).agg(F.bool_or(bad).alias("excluded"))
 
 
 @query("prj23_normalized", "SELECT doc_id, sha256(nfc_normalize(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)))) AS digest FROM documents")

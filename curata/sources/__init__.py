@@ -5,7 +5,6 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
-import os
 import uuid
 from pathlib import Path
 
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curata.functions.udfs import json_error
+from curata.runtime import scratch
 
 
 def json_lines(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
@@ -52,20 +52,22 @@ def paired_lines(a: DataFrame, b: DataFrame, key: str = "id") -> tuple[DataFrame
     return a.join(b, key), one_to_one(a, b, key)
 
 
-def ledger(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame:
+def ledger(spark: SparkSession, path: str, query: str, schema: str, block: int = 100_000) -> DataFrame:
     """Rows of a read-only query on a SQLite ledger, one snapshot.
 
-    The file is read where the driver is: a ledger is one file of bounded size;
-    larger ones belong into Parquet first.
+    The file is read where the driver is, ``block`` rows at a time; each block
+    goes to the shared folder, so that a ledger of any size passes through.
     """
     import sqlite3
 
+    at = scratch(spark, f"ledger-{uuid.uuid4().hex}")
+    spark.createDataFrame([], schema).write.parquet(at)
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as c:
         c.execute("BEGIN")
-        rows = c.execute(query).fetchmany(1_000_001)
-    if len(rows) > 1_000_000:
-        raise ValueError("a ledger of over a million rows: export it to Parquet")
-    return spark.createDataFrame(rows, schema)
+        rows = c.execute(query)
+        while got := rows.fetchmany(block):
+            spark.createDataFrame(got, schema).write.mode("append").parquet(at)
+    return spark.read.schema(schema).parquet(at)
 
 
 def tree_inventory(spark: SparkSession, path: str) -> DataFrame:
