@@ -2,7 +2,6 @@
 
 import hashlib
 
-from curata.llm import cuts
 from curata.operators import kernels
 from curata.plans import corpus, numbers, relations
 from test_core import union_find
@@ -26,18 +25,6 @@ def test_families_bind_edges_of_every_kind(spark, tmp_path):
     assert [tuple(r) for r in relations.g06(spark, str(tmp_path)).collect()] == [("n00", 5)]
 
 
-def test_first_sentence_with_commas_is_not_stripped():
-    plain = "the tensile specimen ran after lunch and the crew then checked every second joint of the long frame before they " * 3
-    cut = [
-        "Check the tensile specimen for a missing pulse; the usual culprit is that no one looked at the sensor of the no",
-        "Limit power loss, and then shorten the settling time of the whole axis by treating this part as a load cel",
-        "On day 49, compare the value of the first probe at station two with 31.5 lux at",
-        plain + "and the",
-    ]
-    whole = [plain + "work ended", plain + "seal leakage sets in", "Step 5: " + plain + "work ended"]
-    assert [s for s in cut if not cuts.stop_kind(s)] == [] and [s for s in whole if cuts.stop_kind(s)] == []
-
-
 def test_bootstrap_draws_all_resamples(spark, tmp_path, monkeypatch):
     rows = [(f"s{i % 2}", i % 20, float(i % 7)) for i in range(200)]
     save(spark, tmp_path, "events", rows, "event_type string, user_id int, value double")
