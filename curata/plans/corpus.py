@@ -433,10 +433,11 @@ J05_SQL = (
 
 @query("j05_contained_prompts", J05_SQL)
 def j05(spark, d):
-    """Labels of held-out prompts against documents by kind."""
+    """Labels of held-out prompts against documents by kind, from classes of equal documents."""
     a = Stage(families.features(table(spark, d, "eval_tasks"), "task_id", "prompt"), "features").df
-    o = _features(spark, d).withColumn("id", F.col("id").cast("string"))
-    return families.matches(a, o).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("anchor").alias("n_anchors"))
+    reps, _ = families.classes(_features(spark, d).withColumn("id", F.col("id").cast("string")))
+    m = families.matches(a, reps.df).join(reps.df.select(F.col("id").alias("other"), "copies"), "other")
+    return m.groupBy("kind").agg(F.sum("copies").alias("n"), F.countDistinct("anchor").alias("n_anchors"))
 
 
 @query("j13_prompt_contamination", r"WITH x AS (SELECT doc_id, document_family AS f, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS p FROM documents), h AS (SELECT * FROM x WHERE doc_id % 10 = 0), t AS (SELECT * FROM x WHERE doc_id % 10 <> 0) SELECT rule, entity FROM (SELECT 'SHARED_P' AS rule, doc_id::VARCHAR AS entity FROM t WHERE p IN (SELECT p FROM h) UNION ALL SELECT 'SHARED_F', doc_id::VARCHAR FROM t WHERE f IN (SELECT f FROM h) UNION ALL SELECT 'SHARED_P', task_id FROM eval_tasks WHERE lower(trim(regexp_replace(prompt, '\s+', ' ', 'g'))) IN (SELECT p FROM h))")
