@@ -135,7 +135,7 @@ def stop_kind(s: str | None, punctuated: bool | None = None) -> str | None:
 
 
 def _neighbours(batches):
-    """Over rows sorted by text: for each distinct text whether the next one goes on where it stops, and how."""
+    """Over rows sorted by text: each distinct text that the next one goes on with, and how; the first and last of all come as well."""
     last = None
     first = True
 
@@ -151,7 +151,9 @@ def _neighbours(batches):
             if s == last:
                 continue
             if last is not None:
-                out.append(row(last, s, "first" if first else None))
+                x = row(last, s, "first" if first else None)
+                if x["more"] is not None or first:
+                    out.append(x)
                 first = False
             last = s
         if out:
@@ -160,7 +162,7 @@ def _neighbours(batches):
         yield batch([row(last, None, "both" if first else "last")])
 
 
-def shorter_copies(texts: DataFrame, parts: int | None = None) -> DataFrame:
+def shorter_copies(texts: DataFrame, parts: int | None = None, distinct: bool = False) -> DataFrame:
     """``(base, more)``: distinct texts that are strict prefixes of a longer one, and how that goes on.
 
     A self-join by prefix: texts are range-partitioned and sorted, so that all
@@ -168,9 +170,10 @@ def shorter_copies(texts: DataFrame, parts: int | None = None) -> DataFrame:
     neighbour. The neighbours on the two sides of a boundary between partitions
     meet in a second, small join of one row each. Equal texts count once, so a
     text that a third of the rows have costs no more than one; null and empty
-    texts are left out.
+    texts are left out. ``distinct`` says that there are no such texts and no
+    repeated ones.
     """
-    d = texts.select(F.col("base")).filter("base is not null and base <> ''").distinct()
+    d = texts.select("base") if distinct else texts.select("base").filter("base is not null and base <> ''").distinct()
     s = d.repartitionByRange(parts, "base") if parts else d.repartitionByRange("base")
     s = s.sortWithinPartitions("base")
     near = Stage(s.mapInArrow(_neighbours, "base string, more string, edge string").withColumn("part", F.spark_partition_id()), "neighbours")
@@ -193,13 +196,16 @@ def cut_copies(texts: DataFrame, parts: int | None = None) -> Stage:
     chance: such a text is cut unless its own end is a complete one.
     """
     distinct = Stage(texts.select("base").filter("base is not null and base <> ''").distinct(), "texts")
-    short = Stage(shorter_copies(distinct.df, parts).select("base", (~F.startswith("more", F.lit(" "))).alias("inside")).distinct(), "short")
-    last = F.element_at(F.split("base", " "), -1)
-    ends = short.df.filter("inside").select(last.alias("word")).distinct()
-    # whole words: those that another follows; only the few that are asked for are kept
-    words = distinct.df.select(F.split("base", " ").alias("w")).select(F.explode(F.array_distinct(F.slice("w", F.lit(1), F.size("w") - 1))).alias("word"))
-    whole = words.join(ends, "word", "left_semi").distinct().withColumn("whole", F.lit(True))
-    mid = short.df.filter("inside").withColumn("word", last).join(whole, "word", "left").filter("whole is null").select("base")
+    short = shorter_copies(distinct.df, parts, True).select("base", (~F.startswith("more", F.lit(" "))).alias("inside")).distinct()
+    short = Stage(short, "short", inside=F.count_if("inside"))
+    mid = short.df.filter("inside").select("base")
+    if short.seen["inside"]:
+        last = F.element_at(F.split("base", " "), -1)
+        ends = mid.select(last.alias("word")).distinct()
+        # whole words: those that another follows; only the few that are asked for are kept
+        words = distinct.df.select(F.split("base", " ").alias("w")).select(F.explode(F.array_distinct(F.slice("w", F.lit(1), F.size("w") - 1))).alias("word"))
+        whole = words.join(ends, "word", "left_semi").distinct().withColumn("whole", F.lit(True))
+        mid = mid.withColumn("word", last).join(whole, "word", "left").filter("whole is null").select("base")
     next_ = short.df.filter(~F.col("inside") & (F.size(F.split("base", " ")) >= CHANCE)).select("base")
     how = mid.withColumn("how", F.lit("word")).union(next_.withColumn("how", F.lit("text")))
     out = Stage(how.groupBy(F.md5("base").alias("key")).agg(F.max("how").alias("how")), "cut")

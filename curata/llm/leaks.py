@@ -278,4 +278,6 @@ def leaks(docs: DataFrame, tasks: DataFrame) -> DataFrame:
         index = spark.sparkContext.broadcast(_index(pdf, full.df.filter(block(blocks) == k).toPandas()))
         got = docs.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInArrow(_find(index), "doc_id long, item string")
         out = got if out is None else out.union(got)
+    items.drop()
+    full.drop()
     return out.distinct().join(named.df.select("item", "task_id").distinct(), "item").select("doc_id", "task_id").distinct()

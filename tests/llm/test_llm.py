@@ -409,3 +409,35 @@ def test_first_sentence_with_commas_is_not_stripped():
     ]
     whole = [plain + "work ended", plain + "seal leakage sets in", "Step 5: " + plain + "work ended"]
     assert [s for s in cut if not cuts.stop_kind(s)] == [] and [s for s in whole if cuts.stop_kind(s)] == []
+
+
+def test_mix_draws_an_offset_for_each_source(spark):
+    s = spark.createDataFrame([(x,) for x in ("a", "b", "c", "d")], "source string")
+    one, two = ([r[0] for r in s.select(mix.source_offset(F.col("source"), seed)).collect()] for seed in (1, 2))
+    assert all(0 <= x < 1 for x in one) and len(set(one)) == 4 and one != two
+
+
+def test_mix_of_documents_of_one_size(spark):
+    """A source whose documents all have one size is divided into bins; the prefix sums run on across them."""
+    s = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(10).cast("long").alias("tokens"))
+    rate = spark.createDataFrame([("a", 1.0, 4.0, 30000, 0.7)], "source string, target_share double, max_repeats double, available long, rate double")
+    got = mix.mix(s, rate, rows=40 * mix.CELL).collect()
+    assert abs(sum(x.copies for x in got) - 2100) <= 1 and {x.copies for x in got} == {1}
+
+
+def test_near_groups_are_made_of_members(spark, tmp_path):
+    from curata.llm import queries
+
+    w = [f"w{k}" for k in range(60)]
+    edit = lambda k: " ".join(x if i != k else "zz" for i, x in enumerate(w))
+    recs = {"a": [("user", " ".join(w))], "b": [("user", edit(30))], "c": [("user", edit(31).upper())], "d": [("user", edit(31))], "x": [("user", " ".join(f"v{k}" for k in range(40)))]}
+    turns(spark, recs).write.parquet(f"{tmp_path}/messages.parquet")
+    assert {tuple(r) for r in queries.p6_members(spark, str(tmp_path)).collect()} == {("a", i) for i in "abcd"}
+    assert [r.record_ids for r in queries.p6_groups(spark, str(tmp_path)).collect()] == [["a", "b", "c", "d"]]
+    assert {tuple(r) for r in queries.p6_found(spark, str(tmp_path)).collect()} == {("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d")}
+
+
+def test_copies_with_several_spellings_of_a_turn(spark):
+    """A kept record that has one turn in two spellings is compared with both."""
+    rows = [("k", 0, "user", "One two.", None, None, None, "r"), ("K ", 0, "user", "one TWO", None, None, None, "r"), ("m", 0, "user", "one... two", None, None, None, "r"), ("n", 0, "user", '{"a": 1, "b": "X y"}', None, None, None, "r"), ("o", 0, "user", '{"b":"x Y","a":1}', None, None, None, "r"), ("p", 0, "user", '{"b":"x Y","a":2}', None, None, None, "r")]
+    assert {tuple(r) for r in copies.copies(table(spark, rows, MESSAGES)).collect()} == {("k", "m"), ("n", "o")}
