@@ -59,7 +59,9 @@ def overlaps(anchors: DataFrame, others: DataFrame, least: float) -> DataFrame:
     b = a if others is anchors else taken_apart(others)
     freq = b.df.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
     ranked = lookup(a.df, freq, "s", "left", rows=a.rows).groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "s"))).alias("r"))
-    pre = ranked.select(F.col("id").alias("anchor"), F.explode(F.slice("r", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("x")).select("anchor", "x.s")
+    pre = ranked.select(F.col("id").alias("anchor"), F.explode(F.slice("r", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("x"))
+    # a shingle that no other text has leads nowhere
+    pre = pre.filter(F.col("x.df") > (1 if others is anchors else 0)).select("anchor", "x.s")
     cand = pre.join(b.df.select(F.col("id").alias("other"), "s"), "s").filter("anchor <> other").select("anchor", "other").distinct()
     both = cand.join(anchors.select(F.col("id").alias("anchor"), F.col("sh").alias("sa"), F.col("n").alias("na")), "anchor").join(others.select(F.col("id").alias("other"), F.col("sh").alias("sb"), F.col("n").alias("nb")), "other")
     return both.select("anchor", "other", F.size(F.array_intersect("sa", "sb")).alias("common"), "na", "nb")
