@@ -48,14 +48,10 @@ def shingles(c: Column, n: int = 5) -> Column:
     return let(tokens(c), of)
 
 
-def shingle_hashes(c: Column, n: int = 5) -> Column:
-    """Distinct 64-bit hashes of ``n`` tokens in succession: for counting what texts share; no digest of each is made."""
-
-    def of(t):
-        at = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice(t, i, F.lit(n)))))
-
-    return let(tokens(c), of)
+def shingle_hashes(t: Column, n: int = 5) -> Column:
+    """Distinct 64-bit hashes of ``n`` of the tokens ``t`` in succession: for counting what texts share; no digest of each is made."""
+    at = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice(t, i, F.lit(n)))))
 
 
 def messages_json(msgs: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.functions.identity import canon, digest, family_id, shingle_hashes, template
+from curata.functions.identity import NUMBER, digest, family_id, shingle_hashes, tokens
 from curata.operators.graph import contracted, named, number
 from curata.runtime import HOT, HotKeys, Stage, lookup
 
@@ -14,9 +14,10 @@ MIN_SHINGLES, NEAR, CONTAINED = 10, 0.85, 0.95
 
 def features(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(id, canon, exact, template, sh, n)``: comparison features of each text."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    d = df.select(F.col(key).alias("id"), canon(t).alias("canon"), template(t).alias("_t"), shingle_hashes(t).alias("sh"))
-    return d.select("id", "canon", digest(F.col("canon")).alias("exact"), digest(F.col("_t")).alias("template"), "sh", F.size("sh").alias("n"))
+    # tokens are taken once; the planner does not repeat what is dear and read several times
+    d = df.select(F.col(key).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    d = d.select("id", F.array_join("t", " ").alias("canon"), shingle_hashes(F.col("t")).alias("sh"))
+    return d.select("id", "canon", digest(F.col("canon")).alias("exact"), digest(F.regexp_replace("canon", NUMBER, "NUM")).alias("template"), "sh", F.size("sh").alias("n"))
 
 
 def classes(feats: DataFrame) -> tuple[Stage, Stage]:
