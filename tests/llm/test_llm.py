@@ -232,6 +232,45 @@ def test_near_pairs_of_a_hot_group(spark):
     assert near.near_pairs(table(spark, [], MESSAGES)).collect() == []
 
 
+def test_near_pairs_in_passes(spark, monkeypatch):
+    """The bitmaps that go to the shards at one time take no more than the share that is given to them, however many the buckets."""
+    monkeypatch.setattr(near, "SLICES", 4)
+    monkeypatch.setattr(near, "BUCKET", 150)
+    monkeypatch.setattr(near, "ROOM", 20_000)
+    monkeypatch.setattr(near, "SHARE", 0)
+    spread, rows = near.spread, []
+
+    def watched(*args):
+        df = spread(*args)
+        rows.append(df.selectExpr("sum(12 + length(bits) + length(extra) + length(tails)) s").first().s or 0)
+        return df
+
+    monkeypatch.setattr(near, "spread", watched)
+    recs = made_records(5, 30)
+    got = [tuple(r) for r in near.near_pairs(turns(spark, recs)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_near(recs) and len(got) > 20
+    assert len(rows) > near.SLICES and max(rows) < 1.5 * near.ROOM < sum(rows) / 2
+
+
+def test_longer_bitmaps_lose_no_pair_and_find_fewer():
+    r = np.random.default_rng(3)
+    n = np.array([50, 150, 161, 200, 320, 330, 400, 600])
+    base = r.integers(0, 1 << 53, 700, np.uint64)
+    sets = [np.unique(base[:k]) for k in n] + [np.unique(r.integers(0, 1 << 53, k, np.uint64)) for k in n]
+    row, h, n = np.repeat(np.arange(16), [len(x) for x in sets]), np.concatenate(sets), np.array([len(x) for x in sets])
+    w = np.ascontiguousarray(near._bitmaps(row, h, 16)).view(np.uint64)
+    size, extra = near._extras(row, h, n)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(16), np.arange(16)))
+    keep = near._within(a, b, n, w, size, extra.view(np.uint64), 0.5)
+    for bits, least in ((1024, 64), (2048, 192)):
+        x = near._bitmaps(row, h, 16, bits)
+        far = np.bitwise_count(x[a] ^ x[b]).sum(1, dtype=np.int64)
+        mine = (np.minimum(size[a], size[b]) == least)
+        assert mine.any() and (keep[mine] <= (far <= (n[a] + n[b]) / 3 + 1e-9)[mine]).all() and not keep[mine].all()
+    both = np.array([len(np.intersect1d(sets[p], sets[q])) for p, q in zip(a, b)])
+    assert keep[2 * both >= n[a] + n[b] - both].all()
+
+
 def test_bk_forest_against_all_pairs():
     r = np.random.default_rng(1)
     rows = 120
